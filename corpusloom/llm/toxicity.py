@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,6 +33,8 @@ SAMPLE_PER_LABEL = 1500
 #: At most so many terms in the lexicon, the strongest.
 LEXICON = 512
 STEMS = range(4, 9)
+#: A term's evidence: e to the minus this bounds the chance that it is toxic so often by luck, among some 10^6 terms.
+EVIDENCE = 14.0
 #: Terms from this length on may be misspelled by one edit.
 FUZZY_FROM = 5
 THRESHOLD = 0.7
@@ -203,8 +206,29 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return id_and_text(docs).join(F.broadcast(held[0].unionByName(held[1])), "doc_id").select("text", "toxic")
 
 
+def _contexts(sample: DataFrame, terms: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[int, int]]:
+    """For each term the distinct words that it follows, in toxic rows and in the others. Words that only copies of one
+    text share follow few; words of abuse follow many."""
+    place = {t: i for i, t in enumerate(terms)}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[tuple[int, int, int]] = set()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                before = ""
+                for w in WORD.findall(text.lower()):
+                    for key in (("w", w), *(("s", w[:n]) for n in STEMS if len(w) > n)):
+                        if key in place:
+                            seen.add((place[key], toxic, zlib.crc32(before.encode())))
+                    before = w
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.int64()) for k in range(3)], ["term", "toxic", "before"])
+
+    rows = sample.mapInArrow(find, "term long, toxic long, before long").distinct().groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    return {terms[r["term"]]: (r["toxic"], r["clean"]) for r in rows.collect()}
+
+
 def _lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(words, stems): those with a log-odds of at least 3 and a support among toxic rows."""
+    """(words, stems) of EVIDENCE at least that are 20 times as frequent among toxic rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,8 +250,19 @@ def _lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     total = next((r for r in top if r["kind"] == "n"), None)
     if total is None or not total["toxic"]:
         return [], []
-    least = max(2, 0.004 * total["toxic"])
-    share = {(r["kind"], r["term"]): ((r["clean"] + 0.5) / (total["clean"] + 1), (r["toxic"] + 0.5) / (total["toxic"] + 1)) for r in top if r["kind"] != "n" and r["toxic"] >= least}
+    chance = total["toxic"] / (total["toxic"] + total["clean"])
+
+    def evidence(toxic: int, clean: int) -> float:
+        """Chernoff's exponent against "as often toxic as any row"."""
+        n = toxic + clean
+        p = toxic / n if n else 0.0
+        if p <= chance:
+            return 0.0
+        return n * (p * math.log(p / chance) + ((1 - p) * math.log((1 - p) / (1 - chance)) if p < 1 else 0.0))
+
+    held = {(r["kind"], r["term"]): r for r in top if r["kind"] != "n" and evidence(r["toxic"], r["clean"]) >= EVIDENCE}
+    contexts = _contexts(sample, list(held))
+    share = {k: ((r["clean"] + 0.5) / (total["clean"] + 1), (r["toxic"] + 0.5) / (total["toxic"] + 1)) for k, r in held.items() if evidence(*contexts.get(k, (0, 0))) >= EVIDENCE}
     strong = sorted((k for k, (c, t) in share.items() if t / c >= 20), key=lambda k: (-share[k][1], k))
     stems: list[str] = []
     words: list[str] = []
