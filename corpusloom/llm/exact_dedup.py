@@ -73,4 +73,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     repeated = again.select(F.col("doc_id").alias("_again"))
     once = left.join(repeated, same, "left_anti")
     twice = left.join(repeated, same, "left_semi").withColumn("_key", normalised(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return once.unionByName(twice)
+    out = once.unionByName(twice)
+    unnamed = docs.filter("doc_id is null")
+    if unnamed.isEmpty():  # reads the ids only
+        return out
+    # rows without an id go by their text: none stays beside a row that has one
+    text_of = F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("_key")
+    named = docs.filter("doc_id is not null").select(text_of)
+    first = unnamed.withColumn("_key", text_of).dropDuplicates(["_key"]).join(named, "_key", "left_anti").drop("_key")
+    return out.filter("doc_id is not null").unionByName(first.select(*docs.columns))
