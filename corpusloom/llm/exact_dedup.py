@@ -49,7 +49,8 @@ def refine(docs: DataFrame, digest: bool = False) -> DataFrame:
     # the groups are a written table of known size: Spark broadcasts them under its threshold and shuffles beyond
     held = rows.join(groups, ["len", "prefix"], "left_semi").select("doc_id", "len", hashed.alias("text_sha256"))
     held, _ = written(held, "dedup-held")
-    same = held.groupBy("len", "text_sha256").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    # written, so that the join deals both sides anew and a hot group's rows can be split over tasks
+    same, _ = written(held.groupBy("len", "text_sha256").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")), "dedup-same")
     copies = held.join(same, ["len", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     # rows of no surviving group stand for themselves; they are told apart by the key, so repeated ids do no harm
     plain = id_and_text(docs).select("doc_id", *_keys(F.col("text")), *([hashed.alias("text_sha256")] if digest else [F.lit(None).cast("string").alias("text_sha256")]))
