@@ -12,7 +12,8 @@ def tokens(text: Column) -> Column:
     """Lower-cased runs of a-z and digits, or of Hangul; a Hangul run of three or more is followed by its pairs."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda w: F.when(w.rlike("^[가-힣]{3,}$"), F.concat(F.array(w), pairs(w))).otherwise(F.array(w))))
+    paired = F.flatten(F.transform(runs, lambda w: F.when(w.rlike("^[가-힣]{3,}$"), F.concat(F.array(w), pairs(w))).otherwise(F.array(w))))
+    return F.when(text.rlike("[가-힣]{3}"), paired).otherwise(runs)
 
 
 def squeezed(text: Column) -> Column:
