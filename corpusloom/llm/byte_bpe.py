@@ -1,29 +1,34 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut at single spaces between words, where the tokenizer's pattern always ends one word and starts the next, so
-a chunk's ids do not depend on its neighbours. The distinct chunks of the corpus are gathered (each task sends each
-chunk once, in groups of bounded size), split by the pattern, and their words encoded by Spark's higher-order
-functions: bytes (as hex pairs) are folded, the adjacent pair of lowest rank first, by a literal rank map. The map is an
-array of small maps, as Spark searches a map from end to end. The encodings are written as sorted hash arrays to the
-shared folder; workers map them into memory and put the documents together. What a hash array gives is checked
-against the chunk's own bytes, and a chunk that does not match (two chunks of one 64-bit hash) is folded on the spot.
-Decoding concatenates the tokens' bytes.
-
-Cases: null and empty texts have no ids; very long texts are like others (one chunk without spaces is folded whole, or,
-over LONGEST characters, merged in the worker with a heap); repeated rows give a row each; a null doc_id stays null; an
-empty table gives no rows; other columns are not looked at. Strings of special tokens are ordinary text.
+Texts are cut where the tokenizer's pattern always ends one word and starts the next: before a space that follows no
+white space, between ASCII letters, digits and marks of different kinds, and around a single line end between such.
+A chunk's ids so do not depend on its neighbours. The distinct chunks of the corpus are gathered (each task sends its own distinct chunks, in groups of
+bounded size), split by the pattern, and their words encoded by Spark's higher-order functions: bytes (as hex pairs) are
+folded, the adjacent pair of lowest rank first, by a literal rank map. The map is an array of small maps, as Spark
+searches a map from end to end. The encodings are written as sorted hash arrays to the shared folder; workers map them
+into memory and put the documents together, a window of bounded bytes at a time: its distinct chunks are looked up, all
+of a bucket at once, and ids gathered by position. What a hash array gives is decoded and compared with the chunk's own
+bytes, and a chunk that does not match (two chunks of one 64-bit hash) is merged on the spot. Decoding concatenates the
+tokens' bytes.
+
+The cuts suit patterns like public_tokenizers.PATTERN: words are runs of letters, digits or marks behind one optional
+space, or contractions that begin with an apostrophe (which therefore never takes part in a cut of the second kind).
+
+Cases: null and empty texts have no ids; very long texts are like others (a chunk of over LONGEST bytes is merged in the
+worker with a heap); repeated rows give a row each; a null doc_id stays null; an empty table gives no rows; other columns
+are not looked at. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +36,16 @@ from pyspark.sql import functions as F
 from .common import constant, id_and_text, let, new_folder, written
 from .language_model import Store
 
-#: A single space with words on both sides.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Kinds of ASCII bytes: 1 letters, 2 digits, 3 marks but the apostrophe; all others are 0.
+KIND = np.array([0 if c > 126 or c < 33 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
 #: Small maps in the rank map.
 MAPS = 16_384
-#: Characters of a chunk that the fold takes.
+#: Bytes of a chunk that the fold takes.
 LONGEST = 64
-#: Distinct chunks that a map task holds, and encodings that a worker remembers.
-HELD = 400_000
+#: Distinct chunks that a map task holds.
+HELD = 200_000
+#: Bytes of text (or of ids) that a worker handles at once; a longer one is handled alone.
+WINDOW = 4 << 20
 #: Distinct chunks of a bucket of the hash arrays, as aimed for.
 BUCKET = 200_000
 
@@ -120,27 +127,95 @@ def merge_here(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def chunks_of(text: str) -> list[str]:
-    first, *rest = BETWEEN.split(text)
-    return [first, *(" " + x for x in rest)]
+def bounds_of(array: pa.Array) -> np.ndarray:
+    return np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4) if len(array) else np.zeros(1, np.int32)
 
 
-def hash_of(chunk: str) -> int:
-    return xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"))
+def bytes_of(array: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The bytes that bounds take in."""
+    return np.frombuffer(array.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+
+
+def ragged(kind: pa.DataType, bounds: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each of the runs, one run after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def windows(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of WINDOW bytes of the column."""
+    bounds = bounds_of(batch.column(column)).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + WINDOW, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def white_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character of several bytes that ends before a position is white space (Unicode)."""
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    return (
+        ((two == 0xC2) & np.isin(one, (0x85, 0xA0)))
+        | ((three == 0xE1) & (two == 0x9A) & (one == 0x80))
+        | ((three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | np.isin(one, (0xA8, 0xA9, 0xAF))))
+        | ((three == 0xE2) & (two == 0x81) & (one == 0x9F))
+        | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    )
+
+
+def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts one after another, and the number of the first chunk of each text, with the end."""
+    bounds = bounds_of(texts)
+    data = bytes_of(texts, bounds)
+    kind = KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    space = np.flatnonzero(data[1:] == 32) + 1
+    before = data[space - 1]
+    cut[space[(kind[space - 1] > 0) | (before == 39) | ((before >= 0x80) & ~white_before(data, space))]] = True
+    line = np.flatnonzero(data[1:-1] == 10) + 1
+    line = line[(kind[line - 1] > 0) & (kind[line + 1] > 0)]
+    cut[line] = cut[line + 1] = True
+    starts = bounds - bounds[0]
+    cut[starts] = True
+    at = np.flatnonzero(cut)
+    return ragged(pa.string(), at, data), np.searchsorted(at, starts)
+
+
+def hash_of(chunk: bytes) -> int:
+    return xxhash.xxh64_intdigest(chunk)
+
+
+class Tokens:
+    """The vocabulary's bytes by rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.array = pa.array(tokens, pa.binary())
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts, as bytes, whose ids lie between bounds."""
+        parts = self.array.take(pa.array(ids))
+        at = bounds_of(parts)
+        return ragged(pa.binary(), (at - at[0])[bounds], bytes_of(parts, at))
 
 
 class Encodings:
-    """The hash arrays, mapped into memory, with what a worker has used of them."""
+    """The hash arrays, mapped into memory."""
 
     def __init__(self, root: str, bits: int, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.store, self.bits, self.ranks, self.pattern = Store(root), bits, ranks, regex.compile(pattern)
         self.maps: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray] | None] = {}
-        self.known: dict[str, bytes] = {}
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        self.tokens = Tokens(ranks)
 
     def _bucket(self, b: int):
         if b not in self.maps:
@@ -150,71 +225,65 @@ class Encodings:
                 self.maps[b] = None
         return self.maps[b]
 
-    def here(self, chunk: str) -> bytes:
-        return np.array([i for w in self.pattern.findall(chunk) for i in merge_here(w.encode("utf-8", "surrogatepass"), self.ranks)], "<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Looks up chunks, all of a bucket at once."""
-        if len(self.known) > HELD:
-            self.known.clear()
-        short = [c for c in chunks if len(c) <= LONGEST]
-        for c in chunks:
-            if len(c) > LONGEST:
-                self.known[c] = self.here(c)
-        h = np.array([hash_of(c) for c in short], np.uint64)
+    def here(self, chunk: str) -> np.ndarray:
+        return np.array([i for w in self.pattern.findall(chunk) for i in merge_here(w.encode("utf-8"), self.ranks)], np.uint32)
+
+    def learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Looks up distinct chunks, all of a bucket at once: ids, and the start and number of those of each chunk."""
+        plain = chunks.cast(pa.binary())
+        h = np.fromiter(map(hash_of, plain.to_pylist()), np.uint64, len(chunks))
         order = np.argsort(h)
-        h = h[order]
-        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        sorted_h = h[order]
+        bucket = (sorted_h >> np.uint64(64 - self.bits)).astype(np.int64)
+        counts, values = np.zeros(len(h), np.int64), []
         for b in np.unique(bucket).tolist():
             lo, hi = np.searchsorted(bucket, [b, b + 1])
             found = self._bucket(b)
             if found is None or not len(found[0]):
-                at, same = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, bool)
-            else:
-                hashes, ends, ids = found
-                at = np.minimum(np.searchsorted(hashes, h[lo:hi]), len(hashes) - 1)
-                same = hashes[at] == h[lo:hi]
-                stop = ends[at]
-                start = np.where(at > 0, ends[np.maximum(at - 1, 0)], 0)
-            for n, k in enumerate(order[lo:hi].tolist()):
-                chunk = short[k]
-                if same[n]:
-                    own = np.asarray(ids[start[n] : stop[n]])
-                    if b"".join([self.tokens[i] for i in own.tolist()]) == chunk.encode("utf-8", "surrogatepass"):
-                        self.known[chunk] = own.astype("<u4").tobytes()
-                        continue
-                self.known[chunk] = self.here(chunk)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
                 continue
-            parts = chunks_of(text)
-            new = set(parts).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > HELD:
-                    self.known.clear()
-                    new = set(parts)
-                self.learn(new)
-            out.append(b"".join(map(self.known.__getitem__, parts)))
-        return out
+            hashes, ends, ids = found
+            at = np.minimum(np.searchsorted(hashes, sorted_h[lo:hi]), len(hashes) - 1)
+            start = np.where(at > 0, ends[np.maximum(at - 1, 0)], 0)
+            n = np.where(hashes[at] == sorted_h[lo:hi], ends[at] - start, 0)
+            counts[lo:hi] = n
+            values.append(ids[spread(start, n)])
+        ids = np.concatenate(values) if values else np.empty(0, np.uint32)
+        same = pc.equal(self.tokens.decode(ids, np.concatenate(([0], np.cumsum(counts)))), plain.take(pa.array(order))).to_numpy(zero_copy_only=False)
+        if not same.all():
+            own = [self.here(x) for x in chunks.take(pa.array(order[~same])).to_pylist()]
+            right = counts.copy()
+            right[~same] = [len(x) for x in own]
+            all_ids, kept = np.empty(right.sum(), np.uint32), np.repeat(same, right)
+            all_ids[kept], all_ids[~kept] = ids[np.repeat(same, counts)], np.concatenate(own)
+            ids, counts = all_ids, right
+        starts, numbers = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        starts[order], numbers[order] = np.cumsum(counts) - counts, counts
+        return ids, starts, numbers
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        chunks, first = chunks_of(texts)
+        coded = chunks.dictionary_encode()
+        ids, starts, numbers = self.learn(coded.dictionary)
+        which = coded.indices.to_numpy()
+        counts = numbers[which]
+        bounds = np.concatenate(([0], np.cumsum(counts)))[first]
+        return ragged(pa.binary(), bounds * 4, ids[spread(starts[which], counts)].astype("<u4"))
 
 
 def distinct_chunks(docs: DataFrame) -> DataFrame:
     """chunk: the distinct chunks of all texts that the fold takes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
+        held = pa.array([], pa.string())
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    held.update(chunks_of(text))
+            for part in windows(batch, "text"):
+                new = pc.unique(chunks_of(part.column("text"))[0])
+                held = pc.unique(pa.concat_arrays([held, new.filter(pc.less_equal(pc.binary_length(new), LONGEST))]))
                 if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c in held if len(c) <= LONGEST], pa.string())], ["chunk"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([c for c in held if len(c) <= LONGEST], pa.string())], ["chunk"])
+                    yield pa.RecordBatch.from_arrays([held], ["chunk"])
+                    held = held.slice(0, 0)
+        yield pa.RecordBatch.from_arrays([held], ["chunk"])
 
     return id_and_text(docs).select("text").mapInArrow(gather, "chunk string").distinct()
 
@@ -232,7 +301,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.array([hash_of(c) for c in batch.column("chunk").to_pylist()], np.uint64)
+            h = np.fromiter(map(hash_of, batch.column("chunk").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
             bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.view(np.int64)), batch.column("ids")], ["bucket", "h", "ids"])
 
@@ -254,7 +323,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Encodings(root, bits, read_ranks(ranks_path), pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(known.encode(batch.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])
+            for part in windows(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), known.encode(part.column("text"))], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -263,13 +333,12 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded with the column decoded: the bytes of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        tokens = Tokens(read_ranks(ranks_path))
         for batch in batches:
-            texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            for part in windows(batch, "ids"):
+                bounds = bounds_of(part.column("ids"))
+                ids = bytes_of(part.column("ids"), bounds).view("<u4")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), tokens.decode(ids, (bounds - bounds[0]) // 4)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
