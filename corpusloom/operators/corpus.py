@@ -86,3 +86,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
     parts = F.filter(F.split("text", r"(?<=[.!?。])\s+|\n"), lambda s: F.trim(s) != "")
     return docs.select("doc_id", F.transform(parts, F.trim).alias("sentences")).mapInPandas(run, "doc_id long, ordinal int, text string")
+
+
+def restored(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """A row for each owner (source) of a shared text, with what names says of it."""
+    return shared.filter("scope = 'shared'").select("hash", F.explode("owners").alias("source")).join(names, "source", "left").select("hash", "source", *(c for c in names.columns if c != "source"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, tokens
+from ..functions.text import cosine, dot, tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 POOL, TOP_K, RRF = 60, 12, 60
@@ -81,3 +81,42 @@ def within_budget(ranked: DataFrame, budget: int = 9000) -> DataFrame:
     """The ranked texts up to the first that would pass the budget of characters."""
     running = F.sum(F.length("text")).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("used", running.cast("long")).filter(F.col("used") <= budget)
+
+
+def swapped(hits: DataFrame, mapped: DataFrame) -> DataFrame:
+    """hits (qid, chunk_id, rank) with damaged chunks replaced by mapped (bad, good), unless the question has the good one."""
+    at = hits.select("qid", F.col("chunk_id").alias("bad")).join(mapped, "bad").join(hits.select("qid", F.col("chunk_id").alias("good")), ["qid", "good"], "left_anti")
+    return hits.withColumnRenamed("chunk_id", "bad").join(at, ["qid", "bad"], "left").withColumn("chunk_id", F.coalesce("good", "bad")).drop("good", "bad")
+
+
+def reranked(hits: DataFrame, listed: DataFrame) -> DataFrame:
+    """The listed (qid, chunk_id, pos) first in their order, the others after them in theirs."""
+    order = Window.partitionBy("qid").orderBy(F.asc_nulls_last("pos"), "rank")
+    return hits.join(listed, ["qid", "chunk_id"], "left").withColumn("rank", F.row_number().over(order))
+
+
+def named_sources(evidence: DataFrame, least: int = 3, most: int = 4) -> DataFrame:
+    """qid, source, place: sources of evidence (qid, source, rank, s shared words) with at least `least` words and two
+    fifths of the best, or else of the best two; at most `most`."""
+    per = Window.partitionBy("qid")
+    e = evidence.withColumn("strong", (F.col("s") >= least) & (F.col("s") * 5 >= F.max("s").over(per) * 2)).withColumn("place", F.row_number().over(per.orderBy(F.desc("s"), "rank")))
+    e = e.withColumn("some", F.bool_or("strong").over(per)).filter(F.col("strong") | (~F.col("some") & (F.col("place") <= 2)))
+    first = e.groupBy("qid", "source").agg(F.min("place").alias("first"))
+    return top(first, "qid", [F.asc("first")], most).withColumnRenamed("rank", "place")
+
+
+def responses(questions: DataFrame, best: DataFrame) -> DataFrame:
+    """Five strings for each question (qid, text) from its ranked evidence (qid, chunk_id, rank, text): the extractive answer."""
+    held = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.substring("text", 1, 300).alias("t"), "chunk_id"))).alias("x"))
+    held = held.select("qid", F.array_join("x.t", "\n").alias("answer"), F.array_join(F.transform("x.chunk_id", lambda c: c.cast("string")), ",").alias("sources"))
+    steps = F.when(F.col("answer").isNull(), F.array(F.lit("no evidence"))).otherwise(F.array(F.lit("keyword search"), F.lit("extract")))
+    trace = F.array_join(F.transform(steps, lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s)), "\n")
+    return questions.join(held, "qid", "left").select(F.col("qid").cast("string").alias("question_id"), F.col("text").alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"), trace.alias("trace"))
+
+
+def dummy_embedding(text: Column, dim: int = 256) -> Column:
+    """A unit vector that depends on the text alone, for runs without a model."""
+    seed = F.sha2(F.coalesce(text, F.lit("")), 256)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(F.sha2(F.concat(seed, i.cast("string")), 256), 1, 8), 16, 10).cast("double") / 2**31 - 1)
+    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
+    return F.get(F.transform(F.array(raw), unit), F.lit(0))

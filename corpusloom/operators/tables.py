@@ -74,3 +74,40 @@ def tax_credit(pension: Column, other: Column, rate: Column, cap_pension: float,
 def bracket(rows: DataFrame, value: str, brackets: DataFrame) -> DataFrame:
     """rows with the bracket (lo, hi, label) that holds value; brackets is a short list."""
     return rows.join(F.broadcast(brackets), (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi")), "left").drop("lo", "hi")
+
+
+def threshold(value: Column, steps: list[int]) -> Column:
+    """The highest of a short list of thresholds that value reaches; null below all."""
+    return F.array_max(F.filter(F.array(*(F.lit(s).cast("long") for s in steps)), lambda s: s <= value))
+
+
+def stored(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """asked (want) with the stored values (value) that begin so; a word that none begins with stays as it is."""
+    known = values.distinct()
+    return asked.join(known, F.startswith("value", "want"), "left").select("want", F.coalesce("value", "want").alias("stored"))
+
+
+def branches(rows: DataFrame, conditions: list[Column]) -> DataFrame:
+    """branch, n: how many rows each branch of a disjunction has, zeros too, in one scan."""
+    counts = rows.agg(*(F.count_if(c).alias(str(i)) for i, c in enumerate(conditions)))
+    return counts.unpivot([], [str(i) for i in range(len(conditions))], "branch", "n").select(F.col("branch").cast("int").alias("branch"), "n")
+
+
+def without_blank(rows: DataFrame, hidden: tuple[str, ...] = ("chunk_id", "source_path")) -> DataFrame:
+    """rows without columns that are null or blank throughout (0 is not blank), and without hidden ones."""
+    shown = [c for c in rows.columns if c not in hidden]
+    filled = rows.agg(*(F.bool_or(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")).alias(c) for c in shown)).first()
+    return rows.select(*(c for c in shown if filled[c]))
+
+
+def missing(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Asked (family, number) that are not known although the family has two members or more."""
+    known = known.distinct()
+    families = known.groupBy("family").agg(F.count("*").alias("n")).filter("n >= 2")
+    return asked.join(families, "family", "left_semi").join(known, ["family", "number"], "left_anti")
+
+
+def nearest_before(rows: DataFrame, key: str, at: str, mark: Column, code: Column, most: int) -> DataFrame:
+    """at, mark: for each code the last mark of its key before it, if at most `most` away."""
+    before = F.last(F.when(mark, F.col(at)), ignorenulls=True).over(Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_m", before).filter(code).select(at, F.when(F.col(at) - F.col("_m") <= most, F.col("_m")).alias("mark"))
