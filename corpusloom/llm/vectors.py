@@ -124,8 +124,8 @@ def nearest_digest(vectors: DataFrame) -> DataFrame:
 NEAREST_SQL = """
 WITH u AS (SELECT vec_id::BIGINT AS vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-             AND len(list_filter(embedding, x -> x <> 0)) > 0 GROUP BY vec_id),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 p AS (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(q.v, b.v) AS score
       FROM u q JOIN u b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id AND len(q.v) = len(b.v)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
