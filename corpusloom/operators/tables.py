@@ -64,11 +64,11 @@ def relaxed(asked: DataFrame, names: DataFrame) -> DataFrame:
 
 def withdrawal_limit(value: Column, year: Column) -> Column:
     """value / (11 - year) * 1.2; null for years under 1 (not eligible) and from 11 (no limit)."""
-    return F.when(year.between(1, 10), F.round(value / (11 - year) * 1.2, 2))
+    return F.when(year.between(1, 10), value / (11 - year) * 1.2)
 
 
 def tax_credit(pension: Column, other: Column, rate: Column, cap_pension: float, cap_all: float) -> Column:
-    return F.round(F.least(F.least(pension, F.lit(cap_pension)) + other, F.lit(cap_all)) * rate, 2)
+    return F.least(F.least(pension, F.lit(cap_pension)) + other, F.lit(cap_all)) * rate
 
 
 def bracket(rows: DataFrame, value: str, brackets: DataFrame) -> DataFrame:

@@ -340,14 +340,14 @@ def bracket_range_join(spark, d):
     return tables.bracket(read(spark, d, "customer"), "c_acctbal", spark.createDataFrame(BRACKETS, "lo double, hi double, label string")).select("c_custkey", "label")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 13 BETWEEN 1 AND 10 THEN round(c_acctbal / (11 - c_custkey % 13) * 1.2::DOUBLE, 2) END AS cap FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 13 BETWEEN 1 AND 10 THEN round(c_acctbal / (11 - c_custkey % 13) * 1.2::DOUBLE, 6) END AS cap FROM customer")
 def withdrawal_limit(spark, d):
-    return read(spark, d, "customer").select("c_custkey", tables.withdrawal_limit(F.col("c_acctbal"), F.col("c_custkey") % 13).alias("cap"))
+    return read(spark, d, "customer").select("c_custkey", F.round(tables.withdrawal_limit(F.col("c_acctbal"), F.col("c_custkey") % 13), 6).alias("cap"))
 
 
-@query("SELECT c_custkey, round(least(least(abs(c_acctbal), 600) + c_custkey % 500, 900) * 0.132::DOUBLE, 2) AS credit FROM customer")
+@query("SELECT c_custkey, round(least(least(abs(c_acctbal), 600) + c_custkey % 500, 900) * 0.132::DOUBLE, 6) AS credit FROM customer")
 def tax_credit(spark, d):
-    return read(spark, d, "customer").select("c_custkey", tables.tax_credit(F.abs("c_acctbal"), F.col("c_custkey") % 500, F.lit(0.132), 600.0, 900.0).alias("credit"))
+    return read(spark, d, "customer").select("c_custkey", F.round(tables.tax_credit(F.abs("c_acctbal"), F.col("c_custkey") % 500, F.lit(0.132), 600.0, 900.0), 6).alias("credit"))
 
 
 # ---- logs and evaluation
