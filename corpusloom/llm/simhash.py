@@ -260,14 +260,45 @@ def table_keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys)
 
 
+#: Rows of a bucket that meet in one block; larger buckets are cut into blocks, and every two blocks meet in a task.
+BLOCK = 512
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows of buckets with two members at least, with p, q and f: two neighbours by size, and the first."""
+    order = Window.partitionBy("key").orderBy("n", "node")
+    out = keyed.select("*", F.lag("node", 1).over(order).alias("p"), F.lag("node", 2).over(order).alias("q"), F.first("node").over(order).alias("f"), F.lead("node", 1).over(order).alias("_next"))
+    return out.filter("p is not null or _next is not null").drop("_next")
+
+
+def _first_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's neighbours by size and of its first with each: linear in the rows."""
+    met = keys.filter("p is not null").select("node", F.explode(F.array_distinct(F.array("p", F.coalesce("q", "p"), "f"))).alias("other"))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a < b").distinct()
+
+
+def _rest_pairs(keys: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) that share a bucket, may be alike by their sizes and are not in one component yet."""
+    own = keys.select("key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).filter("least <> most")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    dealt = own.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "n", "node", "root")
+    side = lambda x: dealt.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "n", "node", "root")))
+    once = (F.col("own_a") < F.col("own_b")) | ((F.col("own_a") == F.col("own_b")) & (F.col("node_a") < F.col("node_b")))
+    alike = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
+    met = side("a").join(side("b"), ["key", "lo", "hi"]).filter(once & (F.col("root_a") != F.col("root_b")) & alike)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every row with an id: components of texts whose word shingles have that Jaccard
     similarity or more.
 
     Candidates share Golay indices of both segments in one of TABLES tables of a wide fingerprint. In a bucket each
-    member meets its neighbours in the order of size, and the first; buckets of four or fewer so meet in all pairs, and
-    the pairs of a hot bucket grow with its rows. The distance of the wide fingerprints settles clear cases; for the
-    rest the sets of shingles are compared exactly."""
+    member first meets its neighbours in the order of size, and the first; that joins most of what belongs together at
+    a cost linear in the rows. Then all pairs of a bucket that are still in different components meet, in blocks. The
+    distance of the wide fingerprints settles clear cases; for the rest the sets of shingles are compared exactly."""
     plain = id_and_text(docs).filter("doc_id is not null")
     wide = [f"w{k}" for k in range(WIDE)]
 
@@ -287,27 +318,31 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
                 at, keys = table_keys(np.stack([part.column(w).to_numpy() for w in wide], axis=1).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("n").take(pa.array(at)), part.column("node").take(pa.array(at))], ["key", "n", "node"])
 
-    order = Window.partitionBy("key").orderBy("n", "node")
-    bucket = nodes.mapInArrow(keyed, "key long, n int, node long").select("node", F.lag("node", 1).over(order).alias("p"), F.lag("node", 2).over(order).alias("q"), F.first("node").over(order).alias("f"))
-    met = bucket.filter("p is not null").select("node", F.explode(F.array_distinct(F.array("p", F.coalesce("q", "p"), "f"))).alias("other"))
-    pairs, _ = written(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a < b").distinct(), "near-pairs")
+    keys, _ = written(_shared(nodes.mapInArrow(keyed, "key long, n int, node long")), "near-keys")
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(w).alias(f"{w}_{name}") for w in wide))
     apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in wide[1:]), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
     alike = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
-    told, _ = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b", apart.alias("apart")).filter(F.col("apart") <= DOUBT), "near-told")
-    sure, doubt = told.filter(F.col("apart") <= SURE).select("a", "b"), told.filter(F.col("apart") > SURE).select("a", "b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["node", "s"])
 
-    asked, _ = written(doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct(), "near-asked")
-    # a repeated id keeps one text
-    held, _ = written(plain.join(asked, "doc_id", "left_semi").mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.min("s").alias("s")), "near-sets")
-    both = doubt.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    close = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    roots, _ = written(components(sure.unionByName(close)), "near-roots")
+    def verified(pairs: DataFrame) -> DataFrame:
+        told, _ = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b", apart.alias("apart")).filter(F.col("apart") <= DOUBT), "near-told")
+        sure, doubt = told.filter(F.col("apart") <= SURE).select("a", "b"), told.filter(F.col("apart") > SURE).select("a", "b")
+        asked, _ = written(doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct(), "near-asked")
+        # a repeated id keeps one text
+        held, _ = written(plain.join(asked, "doc_id", "left_semi").mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.min("s").alias("s")), "near-sets")
+        both = doubt.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return written(sure.unionByName(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")), "near-close")[0]
+
+    pairs, _ = written(_first_pairs(keys), "near-pairs")
+    close = verified(pairs)
+    some, _ = written(components(close), "near-some")
+    # what those left apart meets in all pairs
+    rest, _ = written(_rest_pairs(keys, some, similarity), "near-rest")
+    roots, _ = written(components(close.unionByName(verified(rest))), "near-roots")
     of_node = nodes.join(roots, "node", "left").select(*wide, F.coalesce("root", "node").alias("component_id"))
     return rows.join(of_node, wide).select("doc_id", "component_id")
 

@@ -157,6 +157,25 @@ def test_near_copies(spark, none):
     assert simhash.drop_near(none).count() == 0
 
 
+def test_near_copies_between_strangers_in_size(spark):
+    # one family sharing a passage (0.78 to each other), all of one size; the pairs (i, i + 40), 0.84 alike, have 39 others between them
+    shared = [f"s{i}" for i in range(439)]
+    rows = [(i, " ".join([*shared, *(f"p{i % 40}x{k}" for k in range(17)), *(f"m{i}x{k}" for k in range(44))])) for i in range(80)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    near = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near == {(i, i + 40) for i in range(40)}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 40 for i in range(80)}
+
+
+def test_rest_pairs_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    keys = spark.createDataFrame([(k, 10, i) for k in (7, 8) for i in range(11)], "key long, n int, node long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, root long")
+    got = Counter((r["a"], r["b"]) for r in simhash._rest_pairs(keys, roots, 0.8).collect())
+    assert got == Counter((a, b) for a in range(11) for b in range(a + 1, 11) if b > 2)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(900, 16)).astype(np.float32)
