@@ -170,12 +170,28 @@ def test_near_copies_between_strangers_in_size(spark):
 
 def test_rest_pairs_meet_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 3)
-    keys = spark.createDataFrame([(k, 10, i) for k in (7, 8) for i in range(11)], "key long, n int, node long")
+    keys = spark.createDataFrame([(k, 10, 0, i) for k in (7, 8) for i in range(11)], "key long, n int, pos int, node long")
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, root long")
     got = Counter((r["a"], r["b"]) for r in simhash._rest_pairs(keys, roots, 0.8).collect())
     assert got == Counter((a, b) for a in range(11) for b in range(a + 1, 11) if b > 2)
 
 
+def test_near_copies_at_the_threshold(spark):
+    # pairs at 0.8 exactly and little above, short and long, against all pairs compared
+    rng, rows = np.random.default_rng(5), []
+    for i in range(400):
+        n = (9, 9, 14, 14, 24, 150)[i % 6]
+        words = [f"v{x}" for x in rng.integers(0, 100_000, n)]
+        rows.append((2 * i, " ".join(words)))
+        cut = 1 + int(rng.integers(0, max(1, (n - 4) // 5)))
+        rows.append((2 * i + 1, " ".join(words[:-cut])))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i]) for i in range(400)]
+    assert sum(alike) > 300
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 2 * (k // 2) if alike[k // 2] else k for k in range(800)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(900, 16)).astype(np.float32)
