@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hits
 
-RESIDENT = r"[0-9]{6}-[1-4][0-9]{6}"
-CARD = r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}"
-ACCOUNT = r"account|계좌"
-DASHED = r"[0-9]{2,6}-[0-9]{2,6}-[0-9]{2,6}"
-MARKERS = ["ignore previous", "system prompt", "jailbreak", "disregard"]
+# \s as in the reference's patterns, which are Unicode: Java's \s is ASCII only without (?U); digits too
+RESIDENT = r"(?U)\d{6}[-\s]?[1-4]\d{6}"
+CARD = r"(?U)\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}"
+ACCOUNT = r"(?U)계좌\s?번호"
+DASHED = r"(?U)\d{2,}-\d{2,}(?:-\d{2,})?"
+MARKERS = [
+    "이전 지시", "이전 지침", "시스템 프롬프트", "system prompt", "지시사항을 무시", "규칙을 무시", "규칙을 잊", "ignore previous",
+    "ignore all previous", "지금부터 너는", "역할을 무시", "jailbreak", "너는 이제부터", "프롬프트를 출력", "지시문을 출력", "내부 지침",
+]
 
 
 def personal(text: Column) -> Column:
-    return text.rlike(RESIDENT) | text.rlike(CARD) | (F.lower(text).rlike(ACCOUNT) & text.rlike(DASHED))
+    return text.rlike(RESIDENT) | text.rlike(CARD) | (text.rlike(ACCOUNT) & text.rlike(DASHED))
 
 
 def injected(text: Column) -> Column:
