@@ -13,7 +13,9 @@ kept as null; other columns are not looked at. Spans found by the base patterns
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,7 +32,11 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # greedy runs, so the same as all runs less those under 16
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=++(?![A-Za-z0-9+/_-]))?")  # an equals sign is padding at the end, else it parts name and value
+#: Characters that a candidate has at least, padding with them.
+SHORTEST = 20
+#: A run with signs of both base64 alphabets is cut at those of the one and at those of the other.
+PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}=*"), re.compile(r"[A-Za-z0-9_-]{16,}=*"))
 
 #: A battery p-value under this rejects "drawn at random".
 NOT_RANDOM = 1e-5
@@ -110,20 +116,37 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def random_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Candidates that touch no base span, pass the battery and survive the false-discovery control."""
-    held = [m for m, free in _outside(text, taken) if free]
-    tested = sorted(((p, m) for m in held for _, joined, p in [battery(m.group())] if joined >= NOT_RANDOM), key=lambda x: x[0])
-    keep = max((i for i, (p, _) in enumerate(tested, 1) if p <= FALSE_DISCOVERIES * i / len(held)), default=0)
-    return sorted((m.start(), "random", m.end()) for _, m in tested[:keep])
+    held = [x for x, free in _outside(text, taken) if free]
+    tested = sorted((p, s, e) for s, e in held for _, joined, p in [battery(text[s:e])] if joined >= NOT_RANDOM)
+    keep = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FALSE_DISCOVERIES * i / len(held)), default=0)
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in tested[:keep]):  # the two ways to cut a run may overlap
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return [(s, "random", e) for s, e in out]
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each candidate, by start; mixed runs in parts."""
+    for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() < SHORTEST:
+            continue
+        body = set(m.group())
+        if not (body & set("+/") and body & set("-_")):
+            yield m.span()
+        else:
+            yield from sorted({x.span() for part in PARTS for x in part.finditer(text, *m.span()) if x.end() - x.start() >= SHORTEST})
 
 
 def _outside(text: str, taken: list[tuple[int, str, int]]):
-    """The candidates, each with whether it lies outside every span; a sweep for texts with many spans."""
-    bounds, far, i = sorted((s, e) for s, _, e in taken), 0, 0
-    for m in CANDIDATE.finditer(text):
-        while i < len(bounds) and bounds[i][0] < m.end():
-            far = max(far, bounds[i][1])
-            i += 1
-        yield m, far <= m.start()
+    """The candidates, each with whether it lies outside every span; by bisection for texts with many spans."""
+    bounds = sorted((s, e) for s, _, e in taken)
+    starts, far = [s for s, _ in bounds], list(itertools.accumulate((e for _, e in bounds), max))
+    for start, end in _candidates(text):
+        i = bisect.bisect_left(starts, end)
+        yield (start, end), not i or far[i - 1] <= start
 
 
 def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:

@@ -349,6 +349,27 @@ def test_secrets(docs, rows, none):
     assert clean.columns == docs.columns and clean.count() == len(rows)
 
 
+VALUES = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzR8nQpLmKt", "Zk3Qx9Lm2VwT7rYbN4sDf8GhJ6pC", "QmFzZTY0IGtleXM5dUx4N1pQcjJ3VHk4Tg=="]
+
+
+@pytest.mark.parametrize("value", VALUES)
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "client_key=", "see ", "a=b&x=", "some_long-name/", "other_name="])
+def test_secrets_after_names(before, value):
+    text = f"export {before}{value} and more"
+    base, spans = secrets.scan(text)
+    assert not base
+    at = text.index(value)
+    assert any(s <= at and at + len(value) <= e for s, _, e in spans), spans
+    assert before.endswith("/") or spans == [(at, "random", at + len(value))]
+
+
+def test_secrets_beside_base_spans():
+    value = "Zk3Qx9Lm2VwT7rYbN4sDf8GhJ6pC"
+    text = f"password={value} client_key={value} token={value}"
+    assert [(k, text[s:e]) for s, k, e in secrets.scan(text)[1]] == [("assign", f"password={value}"), ("random", value), ("assign", f"token={value}")]
+    assert not secrets.scan("path/to/some_module-name/another_file-with_words and AWS_SECRET_ACCESS_KEY=short a=b==c")[1]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
