@@ -45,6 +45,8 @@ QUOTED = 0.35
 # Words that report somebody else's speech.
 REPORTING = frozenset("said says quote quoted quotes wrote writes called calls word term means meaning reported dijo escribió llamó sagte schrieb nannte dit écrit appelé".split())
 WORD = re.compile(r"[^\W\d_]+")
+#: Two words with one digit or mark between them; it may be the one edit of a term, as in 'st0pid'.
+JOINED = re.compile(r"([^\W\d_]++)([\d_]|[^\w\s])(?=([^\W\d_]+))")
 OPEN = "\"'“”„«»‘’`"
 
 
@@ -144,8 +146,9 @@ class Reader:
 
     def read(self, text: str) -> list[tuple[int, int, bool]]:
         """(term, edits, quoted) of each hit, in order."""
-        tokens = WORD.findall(text.lower())
-        distinct = set(tokens)
+        lowered = text.lower()
+        tokens = WORD.findall(lowered)
+        distinct = {*tokens, *map("".join, JOINED.findall(lowered))}
         new = distinct - self.seen
         if new:
             if len(self.seen) > self.most:
@@ -159,12 +162,15 @@ class Reader:
         if self.hits.keys().isdisjoint(distinct):
             return []
         out, at = [], 0
-        lowered = text.lower()
         for i, token in enumerate(tokens):
             at = lowered.find(token, at)
-            if hit := self.hits.get(token):
-                before, after = lowered[at - 1 : at], lowered[at + len(token) : at + len(token) + 1]
-                near = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
+            hit, end, past = self.hits.get(token), at + len(token), i + 1
+            if not hit and past < len(tokens) and tokens[past] not in self.hits and lowered.startswith(tokens[past], end + 1):
+                end, past = end + 1 + len(tokens[past]), past + 1
+                hit = self.hits.get(lowered[at:end])
+            if hit:
+                before, after = lowered[at - 1 : at], lowered[end : end + 1]
+                near = tokens[max(0, i - WINDOW) : i] + tokens[past : past + WINDOW]
                 marked = (before in OPEN and before != "") or (after in OPEN and after != "") or _inside(lowered, at)
                 out.append((*hit, marked or not REPORTING.isdisjoint(near)))
             at += len(token)
@@ -305,8 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         odds = math.log((by[1][key] + 0.25) / (n[1] + 1)) - math.log((by[0][key] + 0.25) / (n[0] + 1))
         if odds > 1 and by[1][key] > by[0][key]:
             weight[key] = min(odds, 6.0)
-    for i, (term, _) in enumerate(Matcher(words, stems).terms):  # an edit not met in the sample
-        if (i, 0) in weight and len(term) >= 6 and not by[0][i, 1]:
+    for i, may in enumerate(Matcher(words, stems).may):  # an edit not met in the sample
+        if (i, 0) in weight and may and not by[0][i, 1]:
             weight.setdefault((i, 1), 0.6 * weight[i, 0])
     model = Model(words, stems, weight)
     x = np.array([[1.0, *model.features(h)] for _, h in read_rows])

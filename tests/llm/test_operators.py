@@ -274,6 +274,26 @@ def test_toxicity(spark, tiny, none):
     assert toxicity.keep_clean(odd, model).columns == odd.columns
 
 
+@pytest.fixture(scope="module")
+def abuse(spark):
+    rng = np.random.default_rng(6)
+    words = lambda: " ".join(f"{a}{b}" for a, b in zip(rng.choice(["lamp", "river", "stone", "cloud"], 30), rng.choice(list("abcdefgh"), 30)))
+    rows = [(i, f"{words()} {rng.choice(['trash', 'stupid'])} {words()}" if i % 2 else words()) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_toxicity_of_misspellings(abuse):
+    model = toxicity.fit(*abuse)
+    assert {"trash", "stupid"} <= {*model.words, *model.stems}
+    reader = toxicity.Reader(toxicity.Matcher(model.words, model.stems))
+    score = lambda t: model.score(reader.read(t))
+    for text in ("river trash stone", "river tresh stone", "river trassh stone", "a st0pid lamp", "a st*pid lamp", "a stu-pid lamp", "a tr4sh lamp"):
+        assert score(text) >= toxicity.THRESHOLD, text
+    assert score("river stone, cloud-lamp a1b") < toxicity.THRESHOLD
+    assert [h[1] for h in reader.read("trash-river st0pid x-trash")] == [0, 1, 0]
+
+
 @pytest.mark.parametrize("word", ["trash", "tresh", "trassh", "rash", "trashy", "xtrash", "tra", "moron", "morons", "vequdo", "veqxdo", "vexdo"])
 def test_levenshtein(word):
     matcher = toxicity.Matcher(["trash", "moron"], ["vequ"])
