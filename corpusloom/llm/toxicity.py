@@ -194,8 +194,12 @@ class Model:
     def features(self, hits: list[tuple[int, int, bool]]) -> tuple[float, float]:
         if not hits:
             return 0.0, 0.0
-        worth = [self.weight.get((t, e), 0.0) * (QUOTED if quoted else 1.0) for t, e, quoted in hits]
-        return math.log1p(sum(worth)), max(worth)
+        return self.summed(Counter(hits))
+
+    def summed(self, counts: dict[tuple[int, int, bool], int]) -> tuple[float, float]:
+        """features() of hits that are counted by kind."""
+        worth = [(self.weight.get((t, e), 0.0) * (QUOTED if quoted else 1.0), n) for (t, e, quoted), n in sorted(counts.items())]
+        return math.log1p(sum(w * n for w, n in worth)), max((w for w, _ in worth), default=0.0)
 
     def score(self, hits: list[tuple[int, int, bool]]) -> float:
         a, b = self.features(hits)
@@ -297,11 +301,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Matcher(words, stems))
         for batch in batches:
-            hits = [[(*h[:2], int(h[2])) for h in reader.read(t)][:2000] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([[x for h in d for x in h] for d in hits], pa.list_(pa.int32()))], ["toxic", "hits"])
+            # a text's hits are summed by kind, which the lexicon bounds
+            hits = [Counter(reader.read(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([[x for (i, e, quoted), m in d.items() for x in (i, e, int(quoted), m)] for d in hits], pa.list_(pa.int32()))], ["toxic", "hits"])
 
-    rows = sample.mapInArrow(read, "toxic int, hits array<int>").collect()  # bounded: the sample's rows, their hits
-    read_rows = [(r["toxic"], [(r["hits"][i], r["hits"][i + 1], bool(r["hits"][i + 2])) for i in range(0, len(r["hits"]), 3)]) for r in rows]
+    rows = sample.mapInArrow(read, "toxic int, hits array<int>").collect()  # bounded: the sample's rows, their kinds of hits
+    read_rows = [(r["toxic"], {(i, e, bool(quoted)): m for i, e, quoted, m in zip(*(r["hits"][k::4] for k in range(4)))}) for r in rows]
     n = Counter(t for t, _ in read_rows)
     by = (Counter(), Counter())
     for toxic, hits in read_rows:
@@ -315,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         if (i, 0) in weight and may and not by[0][i, 1]:
             weight.setdefault((i, 1), 0.6 * weight[i, 0])
     model = Model(words, stems, weight)
-    x = np.array([[1.0, *model.features(h)] for _, h in read_rows])
+    x = np.array([[1.0, *model.summed(h)] for _, h in read_rows])
     y = np.array([float(t) for t, _ in read_rows])
     beta = np.zeros(3)
     for _ in range(60):  # Newton's steps with a small ridge

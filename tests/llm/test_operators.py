@@ -294,6 +294,16 @@ def test_toxicity_of_misspellings(abuse):
     assert [h[1] for h in reader.read("trash-river st0pid x-trash")] == [0, 1, 0]
 
 
+def test_toxicity_reads_all_hits_of_a_text(spark, abuse):
+    # a misspelling behind 2,500 hits of the right form is learnt from the sample, not weighted as one that was never met
+    docs, labels = abuse
+    more = [(600 + i, "trash " * 2500 + "tresh" if i % 2 else "river stone") for i in range(600)]
+    found = toxicity.fit(docs.union(spark.createDataFrame(more, docs.schema)), labels.union(spark.createDataFrame([(i, i % 2) for i, _ in more], labels.schema)))
+    reader = toxicity.Reader(toxicity.Matcher(found.words, found.stems))
+    ((term, edits, _),) = reader.read("a tresh lamp")
+    assert edits == 1 and found.weight[term, 1] > 0.6 * found.weight[term, 0] + 0.1
+
+
 @pytest.mark.parametrize("word", ["trash", "tresh", "trassh", "rash", "trashy", "xtrash", "tra", "moron", "morons", "vequdo", "veqxdo", "vexdo"])
 def test_levenshtein(word):
     matcher = toxicity.Matcher(["trash", "moron"], ["vequ"])
