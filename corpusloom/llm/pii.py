@@ -3,7 +3,7 @@
 Text is cut into tokens (runs of letters, runs of digits, single signs). Features are the shapes of a token and its
 neighbours and whether white space stands before it. The field is trained by maximum likelihood (forward-backward,
 Adam) on a small labelled table that training_table() spells out, and decoded by Viterbi in numpy batches. A span needs
-a digit or an at sign within REACH tokens on its line, so only stretches about those are decoded; everything else is
+a digit, an at sign or a word for one or for a dot within REACH tokens on its line, so only stretches about those are decoded; everything else is
 "no personal data" by that constraint, for texts of any length.
 
 The base patterns' matches always stay; the field adds what they miss: numbers grouped by other signs, addresses written
@@ -122,7 +122,7 @@ def training_table() -> list[tuple[str, list[tuple[str, int, int]]]]:
     number = lambda n: "".join(str(roll(10)) for _ in range(n))
     word = lambda: "".join("aeioubcdlmnrst"[roll(14)] for _ in range(2 + roll(6)))
     fill = {
-        "email": ["{w}.{2}@{w}{1}.{w}.com", "{w}@{w}.org", "{w}_{w}@{w}-{w}.net", "{w} at {w} dot com", "{w} [at] {w} [dot] org", "{w}{2} (at) {w} (dot) net", "{w}.{w} at {w} dot {w} dot com"],
+        "email": ["{w}.{2}@{w}{1}.{w}.com", "{w}@{w}.org", "{w}_{w}@{w}-{w}.net", "{w} at {w} dot com", "{w} [at] {w} [dot] org", "{w}{2} (at) {w} (dot) net", "{w}.{w} at {w} dot {w} dot com", "{w} (at) {w}.com", "{w} at {w}.org", "{w} [at] {w}.{w}.net", "{w}.{w} arroba {w}.es"],
         "ip": ["{2}.{2}.{2}.{2}", "1{1}.{2}.{1}.1{2}", "10.{1}.{1}.{2}", "192.168.{1}.{2}"],
         "card": ["{16}", "{4} {4} {4} {4}", "{4}-{4}-{4}-{4}", "{4} {6} {5}", "{4}.{4}.{4}.{4}"],
         "phone": ["+1 ({3}) 555-{4}", "+{2} {3} {3} {4}", "({3}) {3}-{4}", "{3}-{3}-{4}", "{3}.{3}.{4}", "+{2}-{3}-{6}", "1-{3}-{3}-{4}", "00{2} {3} {6}", "({3}) 555-{4}"],
@@ -236,7 +236,7 @@ def train(steps: int = 90, rate: float = 0.2, ridge: float = 2e-3) -> Field:
 
 
 #: Places that a span must have within REACH tokens.
-SEED = re.compile(r"[0-9@]+|\b(?:dot|punkt|punto|point)\b", re.I)
+SEED = re.compile(r"[0-9@]+|\b(?:dot|punkt|punto|point)\b|\b(?:at|arroba)\b(?=\s*[)\]]?\s*[\w-]+\.[\w-])", re.I)
 ADDRESS = re.compile(r"[\w.+-]+\s*[(\[]?\s*(?:@|\bat\b|\barroba\b)\s*[)\]]?\s*[\w-]+(?:\s*[(\[]?\s*(?:\.|\bdot\b|\bpunto\b|\bpunkt\b|\bpoint\b)\s*[)\]]?\s*[\w-]+)+", re.I)
 
 

@@ -358,6 +358,13 @@ def test_personal_field():
     assert not pii.added_spans(["plain words only, 12 of them and 3.5 percent on 2020-10-11"], [[]], field)[0]
 
 
+@pytest.mark.parametrize("address", ["alice (at) example.com", "alice at example.com", "bob.k [at] mail.example.org", "carla arroba ejemplo.es"])
+def test_personal_addresses_with_a_plain_dot(address):
+    text = f"please write to {address} and wait"
+    assert {(pii.KINDS[k], text[s:e]) for k, s, e in pii.added_spans([text], [[]], pii.train())[0]} == {("email", address)}
+    assert not pii.added_spans(["we met at noon. Then at home, all of us looked at stars"], [[]], pii.train())[0]
+
+
 def test_secrets(docs, rows, none):
     def brute(text):
         out = [(m.start(), "assign", m.end()) for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
