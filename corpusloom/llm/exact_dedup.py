@@ -9,8 +9,8 @@ Of equal texts the row with the largest doc_id stays.
 
 Cases: null text counts as empty, and empty texts equal one another; null doc_ids count as smaller than any other;
 rows that repeat doc_id and text are copies like others: refine() returns one result row for each, all marked with the
-same keep_id, and drop_copies() lets only one of them through. An empty table gives an empty result. Other columns are
-not looked at.
+same keep_id, and drop_copies() lets only one of them through, and no row without an id beside one that has one. An empty
+table gives an empty result. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text, written
+from .common import Filter, ascii_lower, id_and_text, without, written
 
 #: Characters that the second step hashes.
 PREFIX = 64
@@ -44,42 +44,37 @@ def surviving(docs: DataFrame) -> DataFrame:
 def refine(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size and kept of every row; with digest also text_sha256, for which every text is hashed."""
     groups, _ = written(surviving(docs), "dedup-groups")
-    hashed = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    rows = id_and_text(docs).select("doc_id", "text", *_keys(F.col("text")))
-    # the groups are a written table of known size: Spark broadcasts them under its threshold and shuffles beyond
-    held = rows.join(groups, ["len", "prefix"], "left_semi").select("doc_id", "len", hashed.alias("text_sha256"))
-    held, _ = written(held, "dedup-held")
-    # written, so that the join deals both sides anew and a hot group's rows can be split over tasks
-    same, _ = written(held.groupBy("len", "text_sha256").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")), "dedup-same")
+    same, held = _hashed(docs, groups)
     copies = held.join(same, ["len", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     # rows of no surviving group stand for themselves; they are told apart by the key, so repeated ids do no harm
-    plain = id_and_text(docs).select("doc_id", *_keys(F.col("text")), *([hashed.alias("text_sha256")] if digest else [F.lit(None).cast("string").alias("text_sha256")]))
+    hashed = F.sha2(normalised(F.col("text")).cast("binary"), 256) if digest else F.lit(None).cast("string")
+    plain = id_and_text(docs).select("doc_id", *_keys(F.col("text")), hashed.alias("text_sha256"))
     single = plain.join(groups, ["len", "prefix"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     out = copies.unionByName(single).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return out if digest else out.drop("text_sha256")
 
 
+def _hashed(docs: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the groups of equal texts, the rows with their full hash), both written, of rows in the surviving groups."""
+    rows = id_and_text(docs).select("doc_id", "text", *_keys(F.col("text")))
+    # texts that no group names are sifted out before the join, which may have to shuffle
+    may, _ = Filter(groups, F.struct("len", "prefix")).split(rows, F.struct("len", "prefix"))
+    held = may.join(groups, ["len", "prefix"], "left_semi").select("doc_id", "len", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
+    held, _ = written(held, "dedup-held")
+    # written, so that the join deals both sides anew and a hot group's rows can be split over tasks
+    same, _ = written(held.groupBy("len", "text_sha256").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")), "dedup-same")
+    return same, held
+
+
 def dedup_digest(docs: DataFrame) -> DataFrame:
     return refine(docs, digest=True)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies, all columns kept; one row of each group of equal texts."""
-    decided, _ = written(refine(docs), "dedup-decided")
-    gone = decided.filter("not kept").select("doc_id")
-    # ids on more than one kept row (repeated rows) need one row picked; there are few or none of them
-    again, _ = written(decided.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "dedup-again")
-    left = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_again"))
-    repeated = again.select(F.col("doc_id").alias("_again"))
-    once = left.join(repeated, same, "left_anti")
-    twice = left.join(repeated, same, "left_semi").withColumn("_key", normalised(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    out = once.unionByName(twice)
-    unnamed = docs.filter("doc_id is null")
-    if unnamed.isEmpty():  # reads the ids only
-        return out
-    # rows without an id go by their text: none stays beside a row that has one
-    text_of = F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("_key")
-    named = docs.filter("doc_id is not null").select(text_of)
-    first = unnamed.withColumn("_key", text_of).dropDuplicates(["_key"]).join(named, "_key", "left_anti").drop("_key")
-    return out.filter("doc_id is not null").unionByName(first.select(*docs.columns))
+    """docs without the copies, all columns kept; of each group of equal texts one row, with the largest doc_id. Rows
+    are dropped by id and text, so that a text stays whose id also stands on a copy of another."""
+    groups, _ = written(surviving(docs), "dedup-groups")
+    same, held = _hashed(docs, groups)
+    decided = held.join(same.filter("group_size > 1"), ["len", "text_sha256"]).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    counted, _ = written(decided.groupBy("id", "mark", "kept").agg(F.count("*").alias("rows")), "dedup-decided")
+    return without(docs, counted.filter("not kept").select("id", "mark"), counted.filter("kept and rows > 1").select("id", "mark"), F.sha2(normalised(F.col("text")).cast("binary"), 256))
