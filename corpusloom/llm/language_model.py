@@ -175,16 +175,16 @@ def merged(blobs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Counter:
     """Sums keys in a map task and gives out blobs by bucket when it holds many."""
 
-    def __init__(self, bucket_of) -> None:
-        self.bucket_of, self.held, self.size = bucket_of, [], 0
+    def __init__(self, bucket_of, most: int = HELD) -> None:
+        self.bucket_of, self.most, self.held, self.size = bucket_of, most, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = counted(keys)
         self.held.append(part)
         self.size += len(part[0])
-        if self.size > 2 * HELD:
+        if self.size > 2 * self.most:
             self._sum()
-            if self.size > HELD:
+            if self.size > self.most:
                 yield from self.flush()
 
     def _sum(self) -> None:

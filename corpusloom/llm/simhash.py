@@ -21,7 +21,6 @@ table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import drop, id_and_text, written
 
@@ -188,160 +186,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def near_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, 3).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Words of 64 bits of the parity map of near_copies().
-PARITY = 8
-#: Texts, chosen by a hash of their ids, whose shingles are counted, and at most so many counts kept. They only order
-#: the shingles, rare ones first; any order gives the same pairs.
-COUNTED, COMMON = 20_000, 100_000
-#: Against rounding in sums of whole numbers and the similarity.
-EPS = 1e-9
-
-
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The distinct shingles' hashes, sorted; fewer words than a shingle are one shingle, no words none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    whole = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    view, digest = memoryview(whole), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())), np.uint64))
-
-
-def parity_map(shingles: np.ndarray) -> np.ndarray:
-    """PARITY * 64 bits, each the parity of the shingles that fall on it: two maps differ in at most as many bits as
-    the sets differ in shingles."""
-    many = np.bincount((shingles % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64)
-    return np.packbits((many & 1).astype(bool), bitorder="little").view(np.uint64)
-
-
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of the shingles, rare ones first, so many that two sets of that Jaccard similarity share one of them:
-    they have at least similarity * n of n in common, so one is among the first n - ceil(similarity * n) + 1."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
-    count = np.where(common[at] == shingles, counts[at], 0) if len(common) else np.zeros(n, np.int64)
-    return shingles[np.lexsort((shingles, count))][: n - math.ceil(similarity * n - EPS) + 1]
-
-
-def common_shingles(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of COUNTED texts, sorted, and their counts."""
-    some = plain.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(COUNTED)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], ["s"])
-
-    found = plain.join(F.broadcast(some), "doc_id", "left_semi").mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("m")).filter("m > 2").orderBy(F.desc("m"), "s").limit(COMMON).collect()
-    s, m = np.array([r["s"] for r in found], np.int64).view(np.uint64), np.array([r["m"] for r in found], np.int64)
-    order = np.argsort(s)
-    return s[order], m[order]
-
-
-#: Rows of a bucket that meet in one block; larger buckets are cut into blocks, and every two blocks meet in a task.
-BLOCK = 512
-
-
-def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of buckets with two members at least, with p and q, two neighbours by size, and f, the smallest."""
-    whole = Window.partitionBy("key")
-    order = whole.orderBy("n", "node")
-    out = keyed.select("*", F.lag("node", 1).over(order).alias("p"), F.lag("node", 2).over(order).alias("q"), F.min("node").over(whole).alias("f"), F.max("node").over(whole).alias("_most"))
-    return out.filter("f <> _most").drop("_most")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes are in different components."""
-    own = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    joined = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def _rest_pairs(keys: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) that share a bucket, may be alike by sizes and positions and are not in one component yet."""
-    own = keys.select("key", "n", "pos", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).filter("least <> most")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = own.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "n", "pos", "node", "root")
-    side = lambda x: dealt.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "n", "pos", "node", "root")))
-    once = (F.col("own_a") < F.col("own_b")) | ((F.col("own_a") == F.col("own_b")) & (F.col("node_a") < F.col("node_b")))
-    alike = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - EPS
-    # from the first shingle in common on, what is left of either must hold all that they need in common
-    enough = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - EPS
-    met = side("a").join(side("b"), ["key", "lo", "hi"]).filter(once & (F.col("root_a") != F.col("root_b")) & alike & enough)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of every row with an id: components of texts whose word shingles have that Jaccard
-    similarity or more.
-
-    Exact but for clashes of 64-bit hashes. A text is stored under the shingles of its prefix(), so that no pair is
-    missed, whatever its length. In a bucket each member first meets the smallest, then its neighbours by size; that
-    joins most of what belongs together at a cost linear in the rows. Then all pairs of a bucket that are still in
-    different components meet, in blocks. Parity maps rule out most pairs that are not alike; for the rest the sets of
-    shingles are compared."""
-    plain = id_and_text(docs).filter("doc_id is not null")
-    wide = [f"w{k}" for k in range(PARITY)]
-    common, counts = common_shingles(plain, shingle)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            out = np.array([parity_map(x) for x in found], np.uint64).reshape(-1, PARITY).view(np.int64)
-            keys = pa.array([prefix(x, similarity, common, counts).view(np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array([len(x) for x in found], pa.int32()), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(PARITY)), keys], ["doc_id", "node", "n", *wide, "keys"])
-
-    rows, _ = written(plain.mapInArrow(sketch, "doc_id long, node long, n int, " + ", ".join(f"{w} long" for w in wide) + ", keys array<long>"), "near-rows")
-    # a node is a set of shingles
-    nodes, _ = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *wide, "keys"))), "near-nodes")
-    keys, _ = written(_shared(nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))), "near-keys")
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(w).alias(f"{w}_{name}") for w in wide))
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in wide[1:]), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
-    alike = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - EPS
-    may = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + EPS
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "s"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        doubt, _ = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike & may).select("a", "b"), "near-doubt")
-        asked = doubt.select(F.col("a").alias("node")).union(doubt.select("b")).distinct()
-        ids, _ = written(nodes.join(asked, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "near-asked")
-        # a repeated id brings texts of other nodes, which nothing joins
-        held, _ = written(plain.join(ids, "doc_id", "left_semi").mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.min("s").alias("s")), "near-sets")
-        both = doubt.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return written(both.filter(same >= F.lit(similarity) * (F.size("x") + F.size("y") - same) - EPS).select("a", "b"), "near-close")[0]
-
-    pair = lambda a, b: keys.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b")
-    first, _ = written(pair("node", "f").distinct(), "near-pairs")
-    close = verified(first)
-    roots, _ = written(components(close), "near-some")
-    beside, _ = written(_apart(pair("node", "p").union(pair("node", "q")).distinct(), roots), "near-beside")
-    close = close.unionByName(verified(beside))
-    roots, _ = written(components(close), "near-more")
-    rest, _ = written(_rest_pairs(keys, roots, similarity), "near-rest")
-    roots, _ = written(components(close.unionByName(verified(rest))), "near-roots")
-    of_node = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(of_node.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def drop_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; all columns kept. Rows with a null
-    doc_id stay. Rows that repeat the naming doc_id stay together; exact dedup before this stage has made them one."""
-    found, _ = written(near_copies(docs, shingle, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

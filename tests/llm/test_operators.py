@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corpusloom.llm import byte_bpe, exact_dedup, language_model, packing, pii, secrets, sharding, simhash, toxicity, vectors
+from corpusloom.llm import byte_bpe, exact_dedup, language_model, near_copies, packing, pii, secrets, sharding, simhash, toxicity, vectors
 
 LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(12_000))
 TEXTS = [
@@ -147,33 +147,50 @@ def test_near_copies(spark, none):
             rows.append((2000 + 10 * i + k, " ".join(v)))
     rows += [(5000, ""), (5001, None), (5002, "two words"), (5003, "two words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()}
     for i in range(40):
         assert got[1000 + i] == 1000 + i
     assert all(got[2000 + 10 * i + k] == 1000 + i for i in range(20) for k in range(3))
     assert got[5003] == got[5002] == 5002 and got[5001] == got[5000] == 5000
-    left = simhash.drop_near(df)
+    left = near_copies.drop_near(df)
     assert left.columns == df.columns and left.count() == 42
-    assert simhash.drop_near(none).count() == 0
+    assert near_copies.drop_near(none).count() == 0
 
 
 def test_near_copies_between_strangers_in_size(spark):
     # one family sharing a passage (0.78 to each other), all of one size; the pairs (i, i + 40), 0.84 alike, have 39 others between them
     shared = [f"s{i}" for i in range(439)]
     rows = [(i, " ".join([*shared, *(f"p{i % 40}x{k}" for k in range(17)), *(f"m{i}x{k}" for k in range(44))])) for i in range(80)]
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    sets = word_sets([t for _, t in rows])
     near = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert near == {(i, i + 40) for i in range(40)}
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 40 for i in range(80)}
 
 
-def test_rest_pairs_meet_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 3)
-    keys = spark.createDataFrame([(k, 10, 0, i) for k in (7, 8) for i in range(11)], "key long, n int, pos int, node long")
+def test_rest_links_meet_across_blocks(spark, monkeypatch, tmp_path):
+    # a bucket of eleven sets in blocks of three: 0, 1 and 2 are one component already, 3 is like 9, and 10 like 4
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    common = np.unique(rng.integers(0, 1 << 63, 10).astype(np.uint64))
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 40).astype(np.uint64)])) for _ in range(11)]
+    sets[9], sets[10] = np.unique(np.append(sets[3][:-1], np.uint64(5))), sets[4][:-3]
+    writer = near_copies.Writer(f"file://{tmp_path}")
+    rows = [(k, 0, i, len(s), *writer.add(s), near_copies.parity(s, 64).tobytes()) for i, s in enumerate(sets) for k in (7, 8)]
+    writer.flush()
+    keys = spark.createDataFrame(rows, "key long, pos int, node long, n int, file long, at long, parity binary")
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, root long")
-    got = Counter((r["a"], r["b"]) for r in simhash._rest_pairs(keys, roots, 0.8).collect())
-    assert got == Counter((a, b) for a in range(11) for b in range(a + 1, 11) if b > 2)
+    got = {(min(r), max(r)) for r in near_copies.rest_links(keys, roots, f"file://{tmp_path}", 0.8).collect()}
+    assert got == {(3, 9), (4, 10)}
+
+
+def word_sets(texts, width=5):
+    """Sets of shingles as plain strings."""
+    out = []
+    for t in texts:
+        w = split(lower(t))
+        out.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
 
 
 def test_near_copies_at_the_threshold(spark):
@@ -185,10 +202,10 @@ def test_near_copies_at_the_threshold(spark):
         rows.append((2 * i, " ".join(words)))
         cut = 1 + int(rng.integers(0, max(1, (n - 4) // 5)))
         rows.append((2 * i + 1, " ".join(words[:-cut])))
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    sets = word_sets([t for _, t in rows])
     alike = [len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i]) for i in range(400)]
     assert sum(alike) > 300
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: 2 * (k // 2) if alike[k // 2] else k for k in range(800)}
 
 
