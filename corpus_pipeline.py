@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, packing, secrets, simhash, toxicity
+from corpusloom.llm import exact_dedup, near_copies, packing, secrets, toxicity
 from corpusloom.llm.common import table, written
 
 
@@ -23,7 +23,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near(docs)
+    return near_copies.drop_near(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
