@@ -8,8 +8,8 @@ folded, the adjacent pair of lowest rank first, by a literal rank map. The map i
 searches a map from end to end. The encodings are written as sorted hash arrays to the shared folder; workers map them
 into memory and put the documents together, a window of bounded bytes at a time: its distinct chunks are looked up, all
 of a bucket at once, and ids gathered by position. What a hash array gives is decoded and compared with the chunk's own
-bytes, and a chunk that does not match (two chunks of one 64-bit hash) is merged on the spot. Decoding concatenates the
-tokens' bytes.
+bytes, and a chunk that does not match (two chunks of one 64-bit hash) is merged on the spot. Decoding joins the tokens'
+bytes by Spark functions, from a literal array of them.
 
 The cuts suit patterns like public_tokenizers.PATTERN: words are runs of letters, digits or marks behind one optional
 space, or contractions that begin with an apostrophe (which therefore never takes part in a cut of the second kind).
@@ -22,6 +22,7 @@ are not looked at. Strings of special tokens are ordinary text.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -207,15 +208,21 @@ class Tokens:
         return ragged(pa.binary(), (at - at[0])[bounds], bytes_of(parts, at))
 
 
+@functools.lru_cache(maxsize=1)
+def vocabulary(path: str) -> tuple[dict[bytes, int], Tokens]:
+    """One for each worker process."""
+    ranks = read_ranks(path)
+    return ranks, Tokens(ranks)
+
+
 class Encodings:
     """The hash arrays, mapped into memory."""
 
-    def __init__(self, root: str, bits: int, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, root: str, bits: int, ranks: dict[bytes, int], tokens: Tokens, pattern: str):
         import regex
 
-        self.store, self.bits, self.ranks, self.pattern = Store(root), bits, ranks, regex.compile(pattern)
+        self.store, self.bits, self.ranks, self.tokens, self.pattern = Store(root), bits, ranks, tokens, regex.compile(pattern)
         self.maps: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray] | None] = {}
-        self.tokens = Tokens(ranks)
 
     def _bucket(self, b: int):
         if b not in self.maps:
@@ -289,7 +296,7 @@ def distinct_chunks(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers) of every row."""
+    """doc_id, ids (little-endian unsigned 32-bit integers) and tokens (the same as an array) of every row."""
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
     chunks, _ = written(distinct_chunks(docs), "bpe-chunks")
@@ -321,26 +328,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     folded.mapInArrow(place, "bucket int, h long, ids array<int>").groupBy("bucket").applyInArrow(write, "bucket int, chunks long").collect()  # a row for each bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Encodings(root, bits, read_ranks(ranks_path), pattern)
+        known = Encodings(root, bits, *vocabulary(ranks_path), pattern)
         for batch in batches:
             for part in windows(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), known.encode(part.column("text"))], ["doc_id", "ids"])
+                ids = known.encode(part.column("text"))
+                at = bounds_of(ids)
+                tokens = pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(bytes_of(ids, at).view("<i4")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, tokens], ["doc_id", "ids", "tokens"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary, tokens array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded with the column decoded: the bytes of its ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(read_ranks(ranks_path))
-        for batch in batches:
-            for part in windows(batch, "ids"):
-                bounds = bounds_of(part.column("ids"))
-                ids = bytes_of(part.column("ids"), bounds).view("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), tokens.decode(ids, (bounds - bounds[0]) // 4)], ["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    """encoded with the column decoded: the bytes of its tokens, joined by Spark from a literal array of the pieces (as
+    hex pairs, which are strings and so join in one pass)."""
+    tokens = [b""] * (max(read_ranks(ranks_path).values(), default=-1) + 1)
+    for token, rank in read_ranks(ranks_path).items():
+        tokens[rank] = token
+    rows = encoded.withColumn("_pieces", constant(encoded.sparkSession, [t.hex() for t in tokens], "array<string>"))
+    joined = lambda pieces: F.unhex(F.array_join(F.transform("tokens", lambda i: F.get(pieces, i)), ""))
+    return rows.withColumn("decoded", let(F.col("_pieces"), joined)).drop("_pieces")
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
