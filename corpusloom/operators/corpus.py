@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,47 +48,73 @@ def sections(blocks: DataFrame, heading: Column) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(before, heading))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Sentences joined to chunks of about TARGET characters, at most MOST where sentences allow, with an overlap of
-    whole sentences. The running length starts anew at each chunk, so it is folded document by document."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, sentences in zip(pdf["doc_id"], pdf["sentences"]):
-                held: list[str] = []
-                size = at = 0
-
-                def emit() -> None:
-                    nonlocal held, size, at
-                    body = "\n".join(held).strip()
-                    if len(body) >= LEAST:
-                        out.append((doc, at, body))
-                        at += 1
-                    tail: list[str] = []
-                    for s in reversed(held):
-                        if sum(map(len, tail)) + len(s) > OVERLAP:
-                            break
-                        tail.insert(0, s)
-                    held, size = tail, sum(len(s) + 1 for s in tail)
-
-                new = False
-                for s in sentences:
-                    if size + len(s) > MOST and held:
-                        emit()
-                        new = False
-                    held.append(s)
-                    size += len(s) + 1
-                    new = True
-                    if size >= TARGET:
-                        emit()
-                        new = False
-                if new:
-                    emit()
-            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "text"])
-
-    parts = F.filter(F.split("text", r"(?<=[.!?。])\s+|\n"), lambda s: F.trim(s) != "")
-    return docs.select("doc_id", F.transform(parts, F.trim).alias("sentences")).mapInPandas(run, "doc_id long, ordinal int, text string")
+def cut_points(lengths: np.ndarray, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Where chunks of sentences of these lengths begin and end. A chunk ends behind the sentence with which it reaches
+    target, or before that sentence if it would pass most; the next one begins at the longest run of whole sentences
+    before that end that overlap holds. The sentences after the last end are a chunk too."""
+    n = len(lengths)
+    plain = np.concatenate(([0], np.cumsum(lengths)))  # characters before each sentence
+    joined = plain + np.arange(n + 1)  # and with a line end after each
+    out, first, fresh, kept = [], 0, 0, -1  # kept: a sentence that the last chunk ended before, which now goes in as it is
+    while first < n:
+        # what stands over from the last chunk counts without line ends
+        base = plain[fresh] - plain[first] - joined[fresh]
+        reach = int(np.searchsorted(joined, target - base, "left")) - 1
+        if reach >= n:
+            out.append((first, n))
+            break
+        full = base + joined[reach] + lengths[reach] > most and reach > first and reach != kept
+        end = reach if full else reach + 1
+        out.append((first, end))
+        kept = reach if full else -1
+        first = max(first, int(np.searchsorted(plain, plain[end] - overlap, "left")))
+        fresh = end
+    return out
+
+
+def packed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ordinal, text: sentences joined to chunks at cut_points(); chunks under LEAST characters are left out.
+
+    Sentences end at . ! ? 。 before white space and at line ends. A null or blank text has no chunk, repeated rows have
+    theirs each, and a null key stays null."""
+    clean = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split("text", r"(?U)(?<=[.!?。])\s+|\n"), clean), lambda s: s != "")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, texts = [], [], []
+            for k, sentences in zip(batch.column(0), batch.column(1).to_pylist()):
+                bodies = ["\n".join(sentences[s:e]) for s, e in cut_points(np.array([len(x) for x in sentences or []], np.int64))]
+                held = [x for x in bodies if len(x) >= LEAST]
+                keys += [k] * len(held)
+                at += range(len(held))
+                texts += held
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(at, pa.int32()), pa.array(texts, pa.string())], [key, "ordinal", "text"])
+
+    return docs.select(key, parts.alias("sentences")).mapInArrow(run, f"{key} {kind}, ordinal int, text string")
+
+
+def chunked(blocks: DataFrame) -> DataFrame:
+    """Chunks (doc_id, begin, section, kind, ordinal, text) of blocks (doc_id, pos, section, kind, text): a block of kind
+    table is a chunk of its own; text between tables and within a section is packed(). begin is the position of the
+    first block of such a run, ordinal counts its chunks."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    table = F.col("kind") == "table"
+    starts = table | F.coalesce(F.lag(table).over(order), F.lit(True)) | ~F.col("section").eqNullSafe(F.lag("section").over(order))
+    runs = blocks.withColumn("begin", F.max(F.when(starts, F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    body = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    whole = runs.filter(table & (F.length(body) >= LEAST)).select("doc_id", "begin", "section", "kind", F.lit(0).alias("ordinal"), body.alias("text"))
+    # a run is part of one document
+    text = runs.filter(~table).groupBy("doc_id", "begin").agg(F.first("section").alias("section"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    parts = packed(text.select(F.struct("doc_id", "begin", "section").alias("run"), "text"), "run")
+    return whole.unionByName(parts.select("run.*", F.lit("text").alias("kind"), "ordinal", "text"))
+
+
+def headless(lines: DataFrame, running: DataFrame) -> DataFrame:
+    """lines (source, doc_id, pos, line) without the running headers and footers (source, line)."""
+    own = running.select(F.col("source").alias("_s"), F.col("line").alias("_l")).distinct()
+    return lines.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.trim("line") == F.col("_l")), "left_anti")
 
 
 def restored(shared: DataFrame, names: DataFrame) -> DataFrame:

@@ -9,22 +9,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # What a query must not contain; replace() as a function is allowed.
-DENIED = ("insert", "update", "delete", "drop", "alter", "create", "attach", "pragma", "vacuum", "truncate")
+DENIED = ("insert", "update", "delete", "drop", "alter", "create", "attach", "detach", "pragma", "vacuum", "merge", "truncate", "grant", "revoke", "exec")
 LIMIT = 50
+#: A quoted string or name, a comment, or any other sign.
+PIECE = re.compile(r"""(?P<quoted>'(?:[^']|'')*'|"(?:[^"]|"")*")|(?P<comment>--[^\n]*|/\*.*?(?:\*/|$))|(?P<plain>.)""", re.S)
 
 
 def outside_quotes(sql: str) -> str:
-    return re.sub(r"'(?:[^']|'')*'", "''", sql)
+    """sql with the insides of its strings and quoted names left out."""
+    return PIECE.sub(lambda m: m[0][0] * 2 if m["quoted"] else m[0], sql)
+
+
+def uncommented(sql: str) -> str:
+    """sql without comments; what looks like one inside quotes stays."""
+    return PIECE.sub(lambda m: " " if m["comment"] else m[0], sql)
+
+
+def fenced(answer: str) -> str:
+    """The statement of an answer: what stands in its first fenced block, or all of it."""
+    found = re.search(r"```(?:sql)?\s*(.*?)```", answer, re.S | re.I)
+    return (found[1] if found else answer).strip()
 
 
 def checked(sql: str) -> str:
-    """One plain SELECT, with a LIMIT put on where it has none; ValueError otherwise."""
-    sql = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";").strip()
+    """One plain SELECT, with a LIMIT put on where it has none; ValueError otherwise. Words inside quotes are not looked
+    at, and the statement's strings stay as they are."""
+    sql = uncommented(fenced(sql)).strip().rstrip(";").strip()
     bare = outside_quotes(sql).lower()
     if not re.match(r"select\b", bare):
         raise ValueError("not a SELECT")
-    if ";" in bare or re.search(rf"\b({'|'.join(DENIED)})\b", bare) or re.search(r"\breplace\b(?!\s*\()", bare):
-        raise ValueError("not allowed")
+    denied = re.search(rf"\b(?:{'|'.join(DENIED)})\b|\breplace\b(?!\s*\()", bare)
+    if denied:
+        raise ValueError(f"not allowed: {denied[0].upper()}")
+    if ";" in bare:
+        raise ValueError("several statements")
     return sql if re.search(r"\blimit\b", bare) else f"{sql} LIMIT {LIMIT}"
 
 

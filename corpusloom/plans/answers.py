@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import answers as an
+from ..functions import documents
 from ..functions import text as tx
 from ..operators import retrieval
 from .registry import BM25_SQL, FUSED_SQL, OVERLAP_SQL, _bm25, _chunks, _overlap, _questions, long, query, read
@@ -46,8 +47,7 @@ def response_five_fields(spark, d):
 @query(f"WITH {BM25_SQL}, {OVERLAP_SQL}, {FUSED_SQL}, {GOLD_SQL}, m AS (SELECT 'keyword' AS mode, qid, chunk_id, rank FROM bm UNION ALL SELECT 'overlap', qid, chunk_id, rank FROM ov UNION ALL SELECT 'fused', qid, chunk_id, rank FROM fr) SELECT mode, k::BIGINT AS k, count(DISTINCT m.qid) FILTER (rank <= k) AS hits FROM m JOIN g ON g.qid = m.qid AND gold = chunk_id, (SELECT unnest([5, 10, 20]) AS k) GROUP BY ALL")
 def mode_k_grid(spark, d):
     key, over = _bm25(spark, d), _overlap(spark, d)
-    b = F.broadcast(_questions(spark, d).withColumnRenamed("text", "passage"))  # the benchmark's items, a bounded set
-    gold = _chunks(spark, d).join(b, F.contains("text", "passage")).select("qid", "chunk_id")
+    gold = retrieval.holders(_chunks(spark, d), _questions(spark, d))
     side = lambda df, name: df.select(F.lit(name).alias("mode"), "qid", "chunk_id", "rank")
     ranked = side(key, "keyword").unionByName(side(over, "overlap")).unionByName(side(retrieval.fuse(over, key), "fused"))
     counts = ranked.join(gold, ["qid", "chunk_id"]).groupBy("mode").agg(*(F.count_distinct(F.when(F.col("rank") <= k, F.col("qid"))).alias(str(k)) for k in (5, 10, 20)))
@@ -67,22 +67,46 @@ def questionset_fingerprint(spark, d):
     return read(spark, d, "benchmark").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("fingerprint"))
 
 
-@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) >= 0.9999 AS same FROM embeddings ORDER BY vec_id LIMIT 5")
+# a vector's component i (from 0): the first eight hex digits of the hash of (hash of the text, i), as a fraction, to unit length
+DUMMY_SQL = "SELECT doc_id, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(sha256(text) || i::VARCHAR), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1) AS r FROM documents"
+
+
+@query(f"WITH v AS ({DUMMY_SQL}) SELECT doc_id, list_aggregate(list_transform(r, lambda x: round(x / sqrt(list_inner_product(r, r)) * 100000)::BIGINT), 'string_agg', ',') AS parts FROM v")
+def dummy_embedding_parts(spark, d):
+    v = read(spark, d, "documents").select("doc_id", retrieval.dummy_embedding(F.col("text"), 16).alias("v"))
+    return v.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(x * 100000).cast("long").cast("string")), ",").alias("parts"))
+
+
+@query("SELECT doc_id, doc_id % 7 <> 3 OR text = '' AS same FROM documents WHERE doc_id % 100 = 0")
 def cache_cosine_check(spark, d):
-    five = read(spark, d, "embeddings").orderBy("vec_id").limit(5)  # a spot check of five rows
-    return five.select("vec_id", (F.round(tx.cosine(F.col("embedding"), F.col("embedding")), 6) >= 0.9999).alias("same"))
+    # every hundredth text is embedded anew; the cache has vectors of other texts for ids that leave 3 by 7
+    docs = read(spark, d, "documents").filter("doc_id % 100 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cached = docs.select("doc_id", retrieval.dummy_embedding(F.when((F.col("doc_id") % 7 == 3) & (F.col("text") != ""), F.concat("text", F.lit("?"))).otherwise(F.col("text"))).alias("held"))
+    return retrieval.cache_agrees(docs.select("doc_id", retrieval.dummy_embedding(F.col("text")).alias("made")), cached).select("doc_id", "same")
 
 
-@query("SELECT doc_id, 256::BIGINT AS dim, 1.0::DOUBLE AS norm FROM documents")
-def dummy_embedding_norm(spark, d):
-    v = read(spark, d, "documents").select("doc_id", retrieval.dummy_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size("v").cast("long").alias("dim"), F.round(F.sqrt(tx.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
+# lines made of every turn, so that each pattern, each exception and plain text occur
+_LINES_SQL = "SELECT conv_id, turn, CASE (conv_id + turn) % 10 WHEN 0 THEN '제 ' || turn || ' 장 ' || role WHEN 1 THEN '<' || role || '>' WHEN 2 THEN turn || '. ' || role WHEN 3 THEN '가. ' || role WHEN 4 THEN ' ( ' || turn || ' )' || role WHEN 5 THEN '③ ' || role WHEN 6 THEN turn || '. 24, 12' WHEN 7 THEN '제 1 조 합니다' WHEN 8 THEN turn || '. ' || role || ' ' || role ELSE text END AS line FROM conversations"
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE length(text) BETWEEN 2 AND 70 AND NOT regexp_matches(text, '[.!?。]$') AND regexp_matches(text, '[^0-9 ./-]')")
+@query(f"WITH l AS ({_LINES_SQL}), b AS (SELECT conv_id, turn, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS x FROM l) SELECT conv_id, turn FROM b WHERE length(x) BETWEEN 2 AND 70 AND NOT (ends_with(x, '다.') OR ends_with(x, '니다')) AND NOT regexp_full_match(x, '[\\'\"]?[0-9.\\s~,\\-\\'\"]+') AND (regexp_matches(x, '^제\\s*[0-9]+\\s*[부장절조]\\s*[.．]?\\s*\\S') OR regexp_full_match(x, '[<＜〈【\\[]\\s*[^>＞〉】\\]]{{2,40}}\\s*[>＞〉】\\]]\\s*') OR regexp_full_match(x, '([0-9]{{1,2}}\\s*[.．]|[가-힣]\\s*[.．]|\\(\\s*[0-9]{{1,2}}\\s*\\)|[①-⑳])\\s*\\S{{2,60}}'))".replace("\\'", "''"))
 def heading_lines(spark, d):
-    t = F.col("text")
-    return read(spark, d, "conversations").filter(F.length(t).between(2, 70) & ~t.rlike(r"[.!?。]\z") & t.rlike("[^0-9 ./-]")).select("conv_id", "turn")
+    c, k = read(spark, d, "conversations"), (F.col("conv_id") + F.col("turn")) % 10
+    turn = F.col("turn").cast("string")
+    made = (F.concat(F.lit("제 "), turn, F.lit(" 장 "), "role"), F.concat(F.lit("<"), "role", F.lit(">")), F.concat(turn, F.lit(". "), "role"), F.concat(F.lit("가. "), "role"), F.concat(F.lit(" ( "), turn, F.lit(" )"), "role"), F.concat(F.lit("③ "), "role"), F.concat(turn, F.lit(". 24, 12")), F.lit("제 1 조 합니다"), F.concat(turn, F.lit(". "), "role", F.lit(" "), "role"))
+    line = F.col("text")
+    for i, x in reversed(list(enumerate(made))):
+        line = F.when(k == i, x).otherwise(line)
+    return c.filter(documents.is_heading(line)).select("conv_id", "turn")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'KR5' || lpad(page_id::VARCHAR, 9, '0') WHEN page_id % 3 = 1 THEN 'KR7' || lpad(page_id::VARCHAR, 9, '0') END AS code, CASE WHEN page_id % 2 = 0 THEN (2000 + page_id % 25)::VARCHAR || '-' || lpad((1 + page_id % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') END AS base_date, CASE WHEN page_id % 4 = 0 THEN '투자설명서' WHEN page_id % 4 = 1 THEN '약관' ELSE '기타' END AS kind, 'Fund ' || page_id AS name FROM pages")
+def document_identity(spark, d):
+    i = F.col("page_id")
+    path = F.concat(F.when(i % 4 == 0, F.lit("a/투자설명서/")).when(i % 4 == 1, F.lit("b/약관/")).otherwise(F.lit("c/")), F.when(i % 3 == 0, F.concat(F.lit("kr5"), F.lpad(i.cast("string"), 9, "0"))).otherwise(F.lit("x")), F.lit("/file.pdf"))
+    head = F.concat(F.lit("1. 집합투자기구 명칭 : Fund  "), i.cast("string"), F.lit("\n"), F.when(i % 3 == 1, F.concat(F.lit("코드 KR7"), F.lpad(i.cast("string"), 9, "0"))).otherwise(F.lit("")), F.when(i % 2 == 0, F.concat(F.lit(" 작성 기준일 : "), (2000 + i % 25).cast("string"), F.lit("년 "), (1 + i % 12).cast("string"), F.lit("월 "), (1 + i % 28).cast("string"), F.lit("일"))).otherwise(F.lit("")))
+    p = read(spark, d, "pages").select("page_id", path.alias("path"), head.alias("head"))
+    return p.select("page_id", documents.fund_code(F.col("path"), F.col("head")).alias("code"), documents.base_date(F.col("head")).alias("base_date"), documents.doc_kind(F.col("path")).alias("kind"), documents.fund_name(F.col("head")).alias("name"))
 
 
 @query("SELECT * FROM (VALUES (1, 'A fee of 0.2% holds.'), (2, 'See (a note) here.'), (3, 'An (open p. 3'), (4, 'Both [x (p. 4)], done'), (5, NULL)) t(id, text) WHERE id <> 4 UNION ALL SELECT 4, 'Both, done'")

@@ -142,9 +142,7 @@ OVERLAP_SQL = "ov AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bot
 
 
 def _overlap(spark, d):
-    q = _questions(spark, d).select("qid", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    n = q.join(retrieval.postings(_chunks(spark, d)), "term").groupBy("qid", "chunk_id").agg(F.count("*").alias("both_terms"))
-    return retrieval.top(n, "qid", [F.desc("both_terms"), F.asc("chunk_id")], 60)
+    return retrieval.shared_words(_questions(spark, d), _chunks(spark, d)).withColumnRenamed("score", "both_terms")
 
 
 FUSED_SQL = "fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS vec_rank, b.rank AS key_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s FROM ov a FULL JOIN bm b ON a.qid = b.qid AND a.chunk_id = b.chunk_id), fr AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_rank ASC NULLS LAST, key_rank ASC NULLS LAST) AS rank FROM fu)"
@@ -163,10 +161,8 @@ def post_filter_rank(spark, d):
 
 @query(f"WITH {BM25_SQL} SELECT qid, chunk_id, source, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, chunk_id) AS rank FROM sc JOIN documents ON doc_id = chunk_id QUALIFY rank <= 2")
 def pre_filter_rank(spark, d):
-    src = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    scored = retrieval.bm25(_questions(spark, d), _chunks(spark, d), 1 << 30).drop("rank").join(src, "chunk_id")
-    own = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(own)).filter("rank <= 2").select("qid", "chunk_id", "source", long("rank"))
+    chunks = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    return retrieval.bm25(_questions(spark, d), chunks, 2, "source").select("qid", "chunk_id", "source", long("rank"))
 
 
 @query(f"WITH {BM25_SQL}, {OVERLAP_SQL}, u AS (SELECT qid, chunk_id, rank * 2 AS place FROM ov WHERE rank <= 2 UNION ALL SELECT qid, chunk_id, rank * 2 + 1 FROM bm WHERE rank <= 10 UNION ALL SELECT qid, chunk_id, rank + 1000000 FROM bm), o AS (SELECT qid, chunk_id, min(place) AS place FROM u GROUP BY ALL) SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM o QUALIFY rank <= 12")
@@ -202,8 +198,7 @@ def fallback_answer(spark, d):
 
 @query(f"WITH {BM25_SQL}, g AS (SELECT item_id AS qid, doc_id AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT g.qid, min(bm.rank) AS first_hit FROM g LEFT JOIN bm ON bm.qid = g.qid AND bm.chunk_id = g.gold AND bm.rank <= 12 GROUP BY g.qid) SELECT count(*) AS questions, count(first_hit) AS hits, round(avg(coalesce(1.0::DOUBLE / first_hit, 0)), 6) AS mrr FROM f")
 def eval_retrieval_metrics(spark, d):
-    b = F.broadcast(_questions(spark, d).withColumnRenamed("text", "passage"))  # the benchmark's items, a bounded set
-    gold = _chunks(spark, d).join(b, F.contains("text", "passage")).select("qid", F.col("chunk_id").alias("gold"))
+    gold = retrieval.holders(_chunks(spark, d), _questions(spark, d)).withColumnRenamed("chunk_id", "gold")
     hits = _bm25(spark, d).filter("rank <= 12").select("qid", F.col("chunk_id").alias("gold"), "rank")
     first = gold.join(hits, ["qid", "gold"], "left").groupBy("qid").agg(F.min("rank").alias("first_hit"))
     return first.agg(F.count("*").alias("questions"), F.count("first_hit").alias("hits"), F.round(F.avg(F.coalesce(1 / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"))
@@ -234,12 +229,19 @@ def html_blocks(spark, d):
 
 # ---- safety and routing
 
-@query(r"SELECT doc_id, regexp_matches(text, '[0-9]{6}-[1-4][0-9]{6}') OR regexp_matches(text, '[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}') OR (regexp_matches(lower(text), 'account|계좌') AND regexp_matches(text, '[0-9]{2,6}-[0-9]{2,6}-[0-9]{2,6}')) AS personal FROM documents")
+# written from the rule: a resident number, a card number, or the word for an account number with a dashed number; white
+# space and digits are Unicode's, which DuckDB's classes are not
+_GAP, _DIGIT = r"[\t-\r\x{85}\p{Z}]", r"\p{Nd}"
+PERSONAL_SQL = f"(regexp_matches(text, '{_DIGIT}{{6}}(-|{_GAP})?[1-4]{_DIGIT}{{6}}') OR regexp_matches(text, '({_DIGIT}{{4}}(-|{_GAP})?){{3}}{_DIGIT}{{4}}') OR (regexp_matches(text, '계좌{_GAP}?번호') AND regexp_matches(text, '{_DIGIT}{_DIGIT}-{_DIGIT}{_DIGIT}')))"
+MARKERS_SQL = "SELECT unnest(['이전 지시', '이전 지침', '시스템 프롬프트', 'system prompt', '지시사항을 무시', '규칙을 무시', '규칙을 잊', 'ignore previous', 'ignore all previous', '지금부터 너는', '역할을 무시', 'jailbreak', '너는 이제부터', '프롬프트를 출력', '지시문을 출력', '내부 지침']) AS marker"
+
+
+@query(f"SELECT doc_id, {PERSONAL_SQL} AS personal FROM documents")
 def pii_scan(spark, d):
     return read(spark, d, "documents").select("doc_id", routing.personal(F.col("text")).alias("personal"))
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[0-9]{6}-[1-4][0-9]{6}') OR regexp_matches(text, '[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}') OR (regexp_matches(lower(text), 'account|계좌') AND regexp_matches(text, '[0-9]{2,6}-[0-9]{2,6}-[0-9]{2,6}')) THEN 'personal' WHEN contains(lower(text), 'ignore previous') OR contains(lower(text), 'system prompt') OR contains(lower(text), 'jailbreak') OR contains(lower(text), 'disregard') THEN 'injection' END AS blocked FROM conversations")
+@query(f"WITH m AS ({MARKERS_SQL}) SELECT conv_id, turn, CASE WHEN {PERSONAL_SQL} THEN 'personal' WHEN EXISTS (SELECT 1 FROM m WHERE contains(lower(text), marker)) THEN 'injection' END AS blocked FROM conversations")
 def injection_scan(spark, d):
     return routing.gate(read(spark, d, "conversations")).select("conv_id", "turn", "blocked")
 
