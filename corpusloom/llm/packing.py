@@ -2,9 +2,9 @@
 
 Each worker reads its documents in order. A document becomes the ids of the tokenizer and a final id 1; whole windows
 are cut off and go out at once, and the rest is placed in the partly filled window of the level that makes the sum of
-squared counts of partly filled windows smallest (or opens a window), by a level array. What is still open at the end
-of a block is joined by cutting pieces where windows end; the last remainder is cut at powers of two, which need no
-padding. A block is one input partition, so nothing is shuffled and memory holds open windows only.
+squared counts of partly filled windows smallest (or opens a window), by a level array. Windows that are still open at
+the end of a block keep what the rule has put into them; only the emptiest are given up, and their documents cut to fill
+the others. The last remainder is cut at powers of two, which need no padding. A block is one input partition, so nothing is shuffled and memory holds open windows only.
 
 Cases: null and empty texts are the single id 1; very long texts spread over many sequences; repeated rows are packed
 each; a null doc_id stays null; an empty table gives no pieces; other columns are not looked at.
@@ -17,6 +17,7 @@ import functools
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ END = 1
 #: Ids of the rank files' "end of text" string when it stands in a text: the tokenizer reads it as a special token.
 SPECIAL = {"<|endoftext|>": 50256}
 #: Encodings of words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: A single space between two words is always a boundary of the tokenizer's words.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -125,6 +126,7 @@ class Block:
 
     def __init__(self, block: int, window: int = WINDOW):
         self.next, self.window, self.levels, self.rows = block << 33, window, Levels(window), []
+        self.moved = 0  # ids that finish() has taken from the window where the rule put them
 
     def emit(self, items: list) -> None:
         at = 0
@@ -144,30 +146,40 @@ class Block:
                 self.emit(full)
 
     def finish(self) -> None:
-        held: list = []
-        size = 0
-
-        def cut(most: int) -> None:
-            """Emits a sequence of `most` ids from held."""
-            nonlocal held, size
-            out, left = [], most
-            while left:
+        """Closes the windows that are open. They stay as the rule has placed them, the fullest first, and what they lack
+        is cut from the documents of the emptiest; the last ids, less than a window, are cut at powers of two."""
+        windows = deque(self.levels.rest())
+        self.levels = Levels(self.window)
+        held: list = []  # documents of windows that were given up, the next one last
+
+        def cut(most: int) -> list:
+            """Pieces of `most` ids in all, or of what there is, from windows given up."""
+            nonlocal held
+            out = []
+            while most and (held or windows):
+                if not held:
+                    held = windows.pop()[::-1]
                 doc, start, ids, total = held.pop()
-                if len(ids) > left:
-                    held.append((doc, start + left, ids[left:], total))
-                    ids = ids[:left]
+                if len(ids) > most:
+                    held.append((doc, start + most, ids[most:], total))
+                    ids = ids[:most]
                 out.append((doc, start, ids, total))
-                left -= len(ids)
-            size -= most
-            self.emit(out)
-
-        for window in self.levels.rest():
-            held += window
-            size += sum(len(x[2]) for x in window)
-            while size >= self.window:
-                cut(self.window)
+                most -= len(ids)
+                self.moved += len(ids)
+            return out
+
+        while windows:
+            window = windows.popleft()
+            window = window + cut(self.window - sum(len(x[2]) for x in window))
+            if sum(len(x[2]) for x in window) == self.window:
+                self.emit(window)
+            else:
+                held = window[::-1]
+        size = sum(len(x[2]) for x in held)
         while size:
-            cut(1 << (size.bit_length() - 1))
+            part = cut(1 << (size.bit_length() - 1))
+            size -= sum(len(x[2]) for x in part)
+            self.emit(part)
 
     def batch(self, ids: bool) -> pa.RecordBatch:
         cols = list(zip(*self.rows)) or [()] * len(FIELDS)
