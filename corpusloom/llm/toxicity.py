@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, remainder
+from .common import id_and_text, remainder, written
 
 #: Bound of the labelled sample, for each label; chosen by a hash of the id, so that it does not depend on order.
 SAMPLE_PER_LABEL = 1500
-#: At most so many terms in the lexicon, the strongest.
-LEXICON = 512
 STEMS = range(4, 9)
 #: A term's evidence: e to the minus this bounds the chance that it is toxic so often by luck, among some 10^6 terms.
 EVIDENCE = 14.0
@@ -45,15 +43,15 @@ QUOTED = 0.35
 # Words that report somebody else's speech.
 REPORTING = frozenset("said says quote quoted quotes wrote writes called calls word term means meaning reported dijo escribió llamó sagte schrieb nannte dit écrit appelé".split())
 WORD = re.compile(r"[^\W\d_]+")
-#: Two words with one digit or mark between them; it may be the one edit of a term, as in 'st0pid'.
-JOINED = re.compile(r"([^\W\d_]++)([\d_]|[^\w\s])(?=([^\W\d_]+))")
+#: A digit or mark before a letter.
+MARK = re.compile(r"(?:[\d_]|[^\w\s])(?=[^\W\d_])")
 OPEN = "\"'“”„«»‘’`"
 
 
 class Matcher:
     """Trie x Levenshtein automaton, made deterministic on the way. A state is the set of (trie node, edits)."""
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = FUZZY_FROM, most_states: int = 200_000):
+    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = FUZZY_FROM, most_states: int = 50_000):
         self.terms = [(w, False) for w in words] + [(s, True) for s in stems]
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
@@ -136,10 +134,20 @@ class Matcher:
         return hit if hit and (best is None or hit[1] < best[1]) else best
 
 
+def joined(text: str) -> Iterator[str]:
+    """Two words with one digit or mark between them; it may be the one edit of a term, as in 'st0pid'."""
+    for m in MARK.finditer(text):
+        at = begin = m.start()
+        while begin and text[begin - 1].isalnum() and not text[begin - 1].isdecimal():
+            begin -= 1
+        if begin < at:
+            yield text[begin : WORD.match(text, at + 1).end()]
+
+
 class Reader:
     """Finds the hits of texts, remembering which tokens hit nothing."""
 
-    def __init__(self, matcher: Matcher, most: int = 300_000):
+    def __init__(self, matcher: Matcher, most: int = 100_000):
         self.matcher, self.most = matcher, most
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[int, int]] = {}
@@ -148,7 +156,7 @@ class Reader:
         """(term, edits, quoted) of each hit, in order."""
         lowered = text.lower()
         tokens = WORD.findall(lowered)
-        distinct = {*tokens, *map("".join, JOINED.findall(lowered))}
+        distinct = {*tokens, *joined(lowered)}
         new = distinct - self.seen
         if new:
             if len(self.seen) > self.most:
@@ -254,10 +262,8 @@ def _lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*data), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "term", "clean", "toxic"])
 
     counts = sample.mapInArrow(count, "kind string, term string, clean long, toxic long").groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / F.greatest(F.col("clean") * 2.0, F.lit(0.5)))
-    # the counts of rows come with the strongest terms; both are bounded
-    top = counts.filter((F.col("kind") == "n") | ((F.col("toxic") >= 2) & (F.col("clean") * 10 <= F.col("toxic")))).orderBy((F.col("kind") == "n").desc(), (F.col("toxic") * odds).desc(), "kind", "term").limit(1 + 8 * LEXICON).collect()
-    total = next((r for r in top if r["kind"] == "n"), None)
+    counts, _ = written(counts, "toxic-terms")
+    total = counts.filter("kind = 'n'").first()
     if total is None or not total["toxic"]:
         return [], []
     chance = total["toxic"] / (total["toxic"] + total["clean"])
@@ -270,15 +276,16 @@ def _lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
             return 0.0
         return n * (p * math.log(p / chance) + ((1 - p) * math.log((1 - p) / (1 - chance)) if p < 1 else 0.0))
 
-    held = {(r["kind"], r["term"]): r for r in top if r["kind"] != "n" and evidence(r["toxic"], r["clean"]) >= EVIDENCE}
+    # the first bound is evidence()'s own: it is at most toxic * log(1 / chance), so these terms stand in that many of the
+    # sample's rows, which bounds how many there are
+    strong = counts.filter((F.col("kind") != "n") & (F.col("clean") * 10 <= F.col("toxic")) & (F.col("toxic") * (-math.log(chance)) >= EVIDENCE)).collect()
+    held = {(r["kind"], r["term"]): r for r in strong if evidence(r["toxic"], r["clean"]) >= EVIDENCE}
     contexts = _contexts(sample, list(held))
     share = {k: ((r["clean"] + 0.5) / (total["clean"] + 1), (r["toxic"] + 0.5) / (total["toxic"] + 1)) for k, r in held.items() if evidence(*contexts.get(k, (0, 0))) >= EVIDENCE}
     strong = sorted((k for k, (c, t) in share.items() if t / c >= 20), key=lambda k: (-share[k][1], k))
     stems: list[str] = []
     words: list[str] = []
     for kind, term in strong:
-        if len(stems) + len(words) >= LEXICON:
-            break
         if any(term.startswith(s) for s in stems):
             continue  # a stem chosen before it covers it
         whole = share.get(("w", term))
