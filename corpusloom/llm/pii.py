@@ -2,9 +2,9 @@
 
 Text is cut into tokens (runs of letters, runs of digits, single signs). Features are the shapes of a token and its
 neighbours and whether white space stands before it. The field is trained by maximum likelihood (forward-backward,
-Adam) on a small labelled table that training_table() spells out, and decoded by Viterbi in numpy batches. A span needs
-a digit, an at sign or a word for one or for a dot within REACH tokens on its line, so only stretches about those are decoded; everything else is
-"no personal data" by that constraint, for texts of any length.
+Adam) on a small labelled table that training_table() spells out, and decoded by Viterbi in numpy batches, each line one
+sequence of any length. Lines that hold neither a digit nor an at sign nor a word for one before a host with a dot can
+have no span of the required make-up and are not decoded.
 
 The base patterns' matches always stay; the field adds what they miss: numbers grouped by other signs, addresses written
 out ("name at host dot org"), each checked for its kind's number of digits or parts.
@@ -28,7 +28,6 @@ from .common import id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-REACH = 8
 
 # The contract's base patterns (its number pattern for ip starts no match inside a run of digits, which
 # the look-behind says at once).
@@ -83,6 +82,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+#: Tokens' shapes and surroundings' scores that a worker remembers.
+REMEMBERED = 100_000
+_SHAPES: dict[str, str] = {}
+#: Tokens, with padding, that are decoded at once; a longer line is decoded alone.
+CELLS = 1 << 17
 
 
 def shape(token: str) -> str:
@@ -145,11 +149,17 @@ def training_table() -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 def tokenised(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[int], list[int], list[str], list[bool]]:
     starts, ends, shapes, gaps = [], [], [], []
+    known = _SHAPES
     for m in TOKEN.finditer(text, lo, len(text) if hi is None else hi):
         gaps.append(bool(ends) and m.start() > ends[-1])
         starts.append(m.start())
         ends.append(m.end())
-        shapes.append(shape(m.group()))
+        token = m.group()
+        if token not in known:
+            if len(known) > REMEMBERED:
+                known.clear()
+            known[token] = shape(token)
+        shapes.append(known[token])
     return starts, ends, shapes, gaps
 
 
@@ -158,35 +168,45 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
-
-    def scores(self, rows: list[list[tuple[str, ...]]]) -> tuple[np.ndarray, np.ndarray]:
-        """(sequences x longest x labels emissions, lengths)."""
-        lengths = np.array([len(r) for r in rows])
-        out = np.zeros((len(rows), lengths.max(initial=0), len(LABELS)))
-        none = len(self.index)
-        for s, row in enumerate(rows):
-            at = np.array([[self.index.get(f, none) for f in fs] for fs in row])
-            out[s, : len(row)] = self.emit[at].sum(axis=1)
-        return out, lengths
-
-    def viterbi(self, rows: list[list[tuple[str, ...]]]) -> list[np.ndarray]:
-        """The best labels of each sequence, all sequences a step at a time."""
+        self.known: dict[tuple, int] = {}
+        self.table: list[np.ndarray] = [np.zeros(len(LABELS))]
+
+    def emissions(self, shapes: list[str], gaps: list[bool]) -> np.ndarray:
+        """(tokens x labels); tokens in the same surroundings are scored once and remembered."""
+        padded, known = ["^", "^", *shapes, "^", "^"], self.known
+        keys = list(zip(padded, padded[1:], gaps, padded[2:], [*gaps[1:], False], padded[3:], padded[4:]))
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.table = [np.zeros(len(LABELS))]
+        for key in set(keys):
+            if key not in known:
+                a, b, g, c, h, d, e = key
+                some = features([a, b, c, d, e], [False, False, g, h, False], 2)
+                known[key] = len(self.table)
+                self.table.append(self.emit[[self.index.get(f, len(self.index)) for f in some]].sum(axis=0))
+        return np.array([self.table[known[k]] for k in keys]).reshape(-1, len(LABELS))
+
+    def viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each sequence of emissions, all sequences a step at a time."""
         if not rows:
             return []
-        e, lengths = self.scores(rows)
-        n, t, k = e.shape
-        best, back = e[:, 0], np.zeros((n, t, k), np.int8)
+        lengths = np.array([len(r) for r in rows])
+        n, t, k = len(rows), int(lengths.max()), len(LABELS)
+        e = np.zeros((t, n, k))
+        for s, row in enumerate(rows):
+            e[: len(row), s] = row
+        best, back = e[0].copy(), np.zeros((t, n, k), np.int8)
         stay = np.arange(k, dtype=np.int8)
         for i in range(1, t):
             paths = best[:, :, None] + self.move[None]
             live = (i < lengths)[:, None]
-            back[:, i] = np.where(live, paths.argmax(axis=1), stay)
-            best = np.where(live, paths.max(axis=1) + e[:, i], best)
+            back[i] = np.where(live, paths.argmax(axis=1), stay)
+            best = np.where(live, paths.max(axis=1) + e[i], best)
         labels = np.zeros((n, t), np.int8)
         at = best.argmax(axis=1)
         for i in range(t - 1, -1, -1):
             labels[:, i] = at
-            at = back[np.arange(n), i, at]
+            at = back[i, np.arange(n), at]
         return [labels[s, :m] for s, m in enumerate(lengths)]
 
 
@@ -235,29 +255,12 @@ def train(steps: int = 90, rate: float = 0.2, ridge: float = 2e-3) -> Field:
     return Field(index, emit, move)
 
 
-#: Places that a span must have within REACH tokens.
-SEED = re.compile(r"[0-9@]+|\b(?:dot|punkt|punto|point)\b|\b(?:at|arroba)\b(?=\s*[)\]]?\s*[\w-]+\.[\w-])", re.I)
-ADDRESS = re.compile(r"[\w.+-]+\s*[(\[]?\s*(?:@|\bat\b|\barroba\b)\s*[)\]]?\s*[\w-]+(?:\s*[(\[]?\s*(?:\.|\bdot\b|\bpunto\b|\bpunkt\b|\bpoint\b)\s*[)\]]?\s*[\w-]+)+", re.I)
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Where to decode: about every seed, REACH tokens to each side, within its line; overlapping ones are joined."""
-    out: list[tuple[int, int]] = []
-    for m in SEED.finditer(text):
-        if out and m.end() <= out[-1][1] - 60:
-            continue
-        lo = max(text.rfind("\n", max(0, m.start() - 120), m.start()) + 1, m.start() - 120, 0)
-        stop = text.find("\n", m.end(), m.end() + 120)
-        hi = stop if stop >= 0 else min(len(text), m.end() + 120)
-        words = [t.start() for t in TOKEN.finditer(text, lo, m.start())][-REACH:]
-        lo = words[0] if words else m.start()
-        after = [t.end() for _, t in zip(range(REACH), TOKEN.finditer(text, m.end(), hi))]
-        hi = after[-1] if after else m.end()
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+_DOT = r"(?:dot|punto|punkt|point)"
+#: An address; after a word for the at sign a plain dot joins its words without blanks, as it ends a sentence otherwise.
+_HOST = rf"[\w-]+(?:(?:\.|\s*[(\[]?\s*\b{_DOT}\b\s*[)\]]?\s*)[\w-]+)+"
+ADDRESS = re.compile(rf"[\w.+-]+\s*[(\[]?\s*(?:@\s*[)\]]?\s*[\w-]+(?:\s*[(\[]?\s*(?:\.|\b{_DOT}\b)\s*[)\]]?\s*[\w-]+)+|\b(?:at|arroba)\b\s*[)\]]?\s*{_HOST})", re.I)
+#: What sound() asks of a span at least: a digit, an at sign, or a word for one before a host with a dot.
+SEED = re.compile(rf"[0-9@]|\b(?:at|arroba)\b(?=\s*[)\]]?\s*{_HOST})", re.I)
 
 
 def sound(kind: int, body: str) -> bool:
@@ -273,37 +276,64 @@ def sound(kind: int, body: str) -> bool:
     return 9 <= len(d) <= 15 and re.fullmatch(r"\+?\(?[0-9](?:[\x20().\-]{0,3}[0-9])+", body) is not None and len(re.findall("[0-9]+", body)) >= 3
 
 
-def added_spans(texts: list[str], based: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
-    """The field's sound spans that touch no base span, for many texts at a time."""
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with what the base found as words of the same length."""
+    out, at = [], 0
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if e > at:
+            out += [text[at : max(s, at)], "x" * (e - max(s, at))]
+            at = e
+    return "".join([*out, text[at:]])
+
+
+def lines_of(text: str, every: bool = False) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines that may hold a sound span (or of all)."""
+    at = 0
+    if not every:
+        m = SEED.search(text)
+        while m:
+            lo, hi = text.rfind("\n", at, m.start()) + 1, text.find("\n", m.end())
+            hi = hi if hi >= 0 else len(text)
+            yield max(lo, at), hi
+            at = hi
+            m = SEED.search(text, at)
+        return
+    for line in text.split("\n"):
+        yield at, at + len(line)
+        at += len(line) + 1
+
+
+def added_spans(texts: list[str], based: list[list[tuple[int, int, int]]], field: Field, every: bool = False) -> list[list[tuple[int, int, int]]]:
+    """The field's sound spans that touch no base span, for many texts at a time. Each line is one sequence; lines where
+    nothing can be sound are left out (unless every line is asked for), which changes no span."""
     where, rows = [], []
-    for n, text in enumerate(texts):
-        taken = sorted((s, e) for _, s, e in based[n])
-        for lo, hi in stretches(text):
-            body = text[lo:hi]
-            for s, e in taken:
-                if lo < e and s < hi:  # what the base found is masked by a word
-                    body = body[: max(0, s - lo)] + "x" * (min(hi, e) - max(lo, s)) + body[min(hi, e) - lo :]
-            if not SEED.search(body):
-                continue
-            starts, ends, shapes, gaps = tokenised(body)
-            rows.append([features(shapes, gaps, i) for i in range(len(shapes))])
-            where.append((n, lo, starts, ends))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))  # like lengths together, so that padding is small
-    for at in range(0, len(order), 256):
-        some = order[at : at + 256]
-        for i, labels in zip(some, field.viterbi([rows[i] for i in some])):
-            n, lo, starts, ends = where[i]
-            j = 0
-            while j < len(labels):
-                end = j + 1
-                while end < len(labels) and labels[end] == labels[j]:
-                    end += 1
-                if labels[j]:
-                    s, e = lo + starts[j], lo + ends[end - 1]
-                    if sound(int(labels[j]) - 1, texts[n][s:e]) and not any(s < b and a < e for _, a, b in based[n]):
-                        out[n].append((int(labels[j]) - 1, s, e))
-                j = end
+
+    def decode() -> None:
+        for (n, starts, ends), labels in zip(where, field.viterbi(rows)):
+            edges = np.flatnonzero(np.concatenate(([True], labels[1:] != labels[:-1], [True]))).tolist()
+            for a, b in zip(edges, edges[1:]):
+                if labels[a]:
+                    s, e = starts[a], ends[b - 1]
+                    if sound(int(labels[a]) - 1, texts[n][s:e]) and not any(s < y and x < e for _, x, y in based[n]):
+                        out[n].append((int(labels[a]) - 1, s, e))
+        where.clear()
+        rows.clear()
+
+    held = []
+    for n, text in enumerate(texts):
+        body = masked(text, based[n]) if based[n] else text
+        for lo, hi in lines_of(body, every):
+            starts, ends, shapes, gaps = tokenised(body, lo, hi)
+            if shapes:
+                held.append(((n, starts, ends), field.emissions(shapes, gaps)))
+    held.sort(key=lambda x: len(x[1]))  # like lengths together, so that padding is small
+    for at, row in held:
+        if rows and (len(rows) + 1) * len(row) > CELLS:
+            decode()
+        where.append(at)
+        rows.append(row)
+    decode()
     return out
 
 
