@@ -14,11 +14,16 @@ Discounts by Chen and Goodman from the counts of counts; where those leave one u
 
 Cases: null and empty texts are the end token alone; repeated rows train and score each; a null doc_id trains nothing
 and is scored with held_out null; without training documents every token has probability 1; very long texts are read
-in pieces cut at white space; other columns are not looked at.
+in pieces cut at white space; other columns are not looked at. Word ids have 32 bits: 2^32 - 1 distinct words or more
+are refused with an error before anything is scored.
+
+The order is 2. A third order would add its counts, the middle order's continuation counts and their arrays to what lies
+on disk, some 2 bytes for each byte of text in each of two more rounds.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import tempfile
 from collections.abc import Iterator
@@ -446,7 +451,8 @@ def fit(docs: DataFrame) -> Model:
         Store(root).put(f"follows-{b}", dense)
         # the counts of the bucket's words, from the arrays by hash to one array by id
         lo, hi = b * width, min((b + 1) * width, many)
-        parts = [np.asarray(Store(root).get(f"seen-{w}")[max(lo, offsets[w]) - offsets[w] : min(hi, offsets[w + 1]) - offsets[w]]) for w in range(buckets) if offsets[w] < hi and offsets[w + 1] > lo]
+        own = range(max(0, bisect.bisect_right(offsets, lo) - 1), bisect.bisect_left(offsets, hi, hi=buckets))
+        parts = [np.asarray(Store(root).get(f"seen-{w}")[max(lo, offsets[w]) - offsets[w] : min(hi, offsets[w + 1]) - offsets[w]]) for w in own if offsets[w] < hi and offsets[w + 1] > lo]
         Store(root).put(f"count-{b}", np.concatenate([*parts, np.zeros(width - (hi - lo), np.int64)]))
         return _row("follows", b, None, [len(ids), int(contexts.sum()), *_first_counts(contexts)])
 

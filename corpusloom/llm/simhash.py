@@ -16,7 +16,9 @@ Components come from alternating large-star and small-star rounds over written e
 
 Cases: null texts count as empty; a text without words has fingerprint zero and is linked like any other; repeated rows
 give a row each; a null doc_id gets its component but never names one (a component of null ids only is null); an empty
-table gives no rows; other columns are not looked at.
+table gives no rows; other columns are not looked at. Rows meet the names of their components by fingerprint: where a
+fingerprint holds a large share of all rows that join leans on the splitting of skewed partitions, as the names are one row
+for each fingerprint.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, exact_dedup, language_model, near_copies, packing, pii, secrets, sharding, simhash, toxicity, vectors
 
@@ -64,6 +65,25 @@ def test_exact_dedup(docs, rows, none):
     assert Counter(lower(r["text"]) for r in left.collect()) == Counter(dict.fromkeys(size, 1))
 
 
+def test_drop_copies_goes_by_rows(spark):
+    rows = [(5, "a"), (9, "a"), (5, "b"), (7, "c"), (7, "c"), (None, "C"), (None, "z"), (None, "z"), (None, None), (3, ""), (4, "only")]
+    df = spark.createDataFrame([(i, t, "1", 2) for i, t in rows], "doc_id long, text string, _gone string, id int").withColumnRenamed("id", "mark")
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    got = bag(left.select("doc_id", F.lower("text")))
+    assert got == Counter([(9, "a"), (5, "b"), (7, "c"), (None, "z"), (3, ""), (4, "only")])
+
+
+def test_filter_passes_every_key(spark):
+    from corpusloom.llm.common import Filter
+
+    keys = spark.range(0, 30_000, 3).toDF("k")
+    may, rest = Filter(keys, F.col("k")).split(spark.range(30_000).toDF("map"), F.col("map"))
+    assert may.join(keys, may["map"] == keys["k"]).count() == 10_000 and may.count() < 13_000 and may.count() + rest.count() == 30_000
+    may, rest = Filter(keys.limit(0), F.col("k")).split(keys, F.col("k"))
+    assert may.count() == 0 and rest.count() == 10_000
+
+
 def test_exact_dedup_plan_is_native(docs):
     plan = exact_dedup.dedup_digest(docs)._jdf.queryExecution().toString() + sharding.shard_digest(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|BroadcastNestedLoop|Cartesian", plan)
@@ -87,6 +107,22 @@ def test_sharding(spark, docs, rows, none):
     assert sum(len(v) > 1 for k, v in shards.items() if k != "hot text here") == 0
 
 
+def test_sharding_of_many_empty_texts(spark, monkeypatch):
+    # a third of the rows is empty and one is huge: no range holds over twice its share of rows, and equal texts stay together
+    rows = [(i, "" if i % 3 == 0 else None if i % 301 == 1 else "z" * 500_000 if i == 4000 else f"text {i // 2} " + "y" * (i % 50)) for i in range(24_000)]
+    many, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    counted = sharding._totals
+    monkeypatch.setattr(sharding, "_totals", lambda *a: seen.append(counted(*a)) or seen[-1])
+    got = sharding.shard(many).collect()
+    assert max(m for _, m, _ in seen[-1].values()) <= max(sharding.LEAST_ROWS, 2 * 24_000 / sharding.LEAST_RANGES)
+    text, shards, slots = dict(rows), defaultdict(set), defaultdict(list)
+    for r in got:
+        shards[text[r["doc_id"]] or ""].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 24_000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(len(v) == 1 for v in shards.values())
+
+
 def test_simhash(docs, rows, none):
     def brute(text):
         w = split(lower(text))
@@ -157,6 +193,39 @@ def test_near_copies(spark, none):
     assert near_copies.drop_near(none).count() == 0
 
 
+def test_near_copies_of_odd_rows(docs, rows, none):
+    """Nulls, empty and long texts, repeated rows and clashing columns, against all pairs."""
+    sets = word_sets([t or "" for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            if not union or len(sets[i] & sets[j]) >= 0.8 * len(union):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    assert bag(near_copies.near_copies(docs)) == Counter((doc, least.get(find(i))) for i, (doc, _) in enumerate(rows))
+    left = near_copies.drop_near(docs)
+    want = {find(i): min((d is None, d or 0) for k, (d, _) in enumerate(rows) if find(k) == find(i)) for i in range(len(rows))}
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == Counter(want.values())
+
+
+def test_near_copies_keep_texts_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (2, a + " more"), (2, b), (2, b), (3, b + " end"), (4, "else")], "doc_id long, text string")
+    left = {tuple(r) for r in near_copies.drop_near(df).collect()}
+    assert len(left) == near_copies.drop_near(df).count() == 3 and {(1, a), (4, "else")} < left and {x for x, _ in left} == {1, 2, 4}
+
+
 def test_near_copies_between_strangers_in_size(spark):
     # one family sharing a passage (0.78 to each other), all of one size; the pairs (i, i + 40), 0.84 alike, have 39 others between them
     shared = [f"s{i}" for i in range(439)]
@@ -321,6 +390,49 @@ def test_toxicity_reads_all_hits_of_a_text(spark, abuse):
     assert edits == 1 and found.weight[term, 1] > 0.6 * found.weight[term, 0] + 0.1
 
 
+def test_toxicity_of_repeated_and_long_texts(spark, abuse):
+    rows = [(1, "you trash " * 3), (1, "you trash " * 3), (2, "fine words " * 60_000), (3, "fine words " * 60_000 + "you trash"), (4, None), (5, ""), (None, "plain")]
+    df = spark.createDataFrame([(i, t, 9, "x") for i, t in rows], "doc_id long, text string, score int, hits string")
+    model = toxicity.fit(*abuse)
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score_toxicity(df, model).collect()]
+    by = {i: s for i, s in got}
+    assert len(got) == len(rows) and by[2] == by[4] == by[5] == by[None] < by[3] <= by[1] and len({s for i, s in got if i == 1}) == 1
+    assert toxicity.keep_clean(df, model).columns == df.columns and toxicity.keep_clean(df.limit(0), model).count() == 0 == secrets.redact(df.limit(0)).count()
+
+
+def test_toxic_hits_against_brute_force():
+    """Every token, and two words with one sign between, against every term by the definition of one edit."""
+    words, stems = ["idiot", "vermin", "scum"], ["pathet", "worth"]
+    reader, rng = toxicity.Reader(toxicity.Matcher(words, stems)), np.random.default_rng(10)
+
+    def close(a, b):
+        if a == b:
+            return 0
+        if abs(len(a) - len(b)) > 1:
+            return 9
+        one = any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
+        return 1 if one else 9
+
+    def edits(token):
+        """The fewest edits of a term that the token is, or begins with."""
+        found = [close(token, w) for w in words if close(token, w) == 0 or len(w) >= toxicity.FUZZY_FROM]
+        for s in stems:
+            found += [close(token[:n], s) for n in range(len(s) - 1, len(s) + 2) if n <= len(token) and (token[:n] == s or len(s) > toxicity.FUZZY_FROM)]
+        return min((e for e in found if e < 9), default=None)
+
+    pool = ["idiot", "idi0t", "id-iot", "idio", "vermins", "vermn", "scum", "scums", "pathetic", "pathotic", "worthy", "warthy", "the", "day", "plain", "it's", "a_b", "x2y"]
+    for _ in range(300):
+        text = " ".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 8)))
+        want = []
+        for piece in text.split():
+            parts = re.findall(r"[^\W\d_]+", piece)
+            own = [edits(p) for p in parts]
+            whole = edits(piece) if len(parts) == 2 else None
+            want += [0 if whole == 0 else whole] if not any(x is not None for x in own) and whole is not None else [x for x in own if x is not None]
+        assert [e for _, e, _ in reader.read(text)] == want, text
+    assert set(toxicity.joined("a1b-c d--e 2f g_h² i.")) == {"a1b", "b-c", "g_h²"}
+
+
 @pytest.mark.parametrize("word", ["trash", "tresh", "trassh", "rash", "trashy", "xtrash", "tra", "moron", "morons", "vequdo", "veqxdo", "vexdo"])
 def test_levenshtein(word):
     matcher = toxicity.Matcher(["trash", "moron"], ["vequ"])
@@ -366,7 +478,7 @@ def test_personal_field():
     rows, right = pii.training_table(), 0
     for text, spans in rows[:200]:
         starts, ends, shapes, gaps = pii.tokenised(text)
-        (labels,) = field.viterbi([[pii.features(shapes, gaps, i) for i in range(len(shapes))]])
+        (labels,) = field.viterbi([field.emissions(shapes, gaps)])
         gold = [next((pii.LABELS.index(k) for k, s, e in spans if s <= a and b <= e), 0) for a, b in zip(starts, ends)]
         right += labels.tolist() == gold
     assert right >= 190
@@ -375,6 +487,41 @@ def test_personal_field():
     assert not pii.added_spans(["plain words only, 12 of them and 3.5 percent on 2020-10-11"], [[]], field)[0]
 
 
+def test_viterbi_against_enumeration():
+    import itertools
+
+    field, rng = pii.train(), np.random.default_rng(6)
+    pieces = ["call", "(415)", "555", "-", "2671", "at", "dot", "com", ".", "10", "+1", "x", "@", "4111"]
+    rows = [" ".join(pieces[k] for k in rng.integers(0, len(pieces), n)) for n in (1, 2, 3, 4, 5) for _ in range(6)]
+    parts = [pii.tokenised(t)[2:] for t in rows]
+    emitted = []
+    for shapes, gaps in parts:
+        # the remembered scores against the features taken one by one
+        plain = np.array([sum((field.emit[field.index.get(f, len(field.index))] for f in pii.features(shapes, gaps, i)), np.zeros(5)) for i in range(len(shapes))])
+        emitted.append(plain)
+        np.testing.assert_allclose(field.emissions(shapes, gaps), plain)
+    for e, labels in zip(emitted, field.viterbi([field.emissions(*p) for p in parts])):
+        if len(e) <= 7:
+            best = max(itertools.product(range(5), repeat=len(e)), key=lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:])))
+            score = lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+            assert score(labels) == pytest.approx(score(best))
+
+
+def test_personal_spans_of_every_line(monkeypatch):
+    # lines that are left out, and how lines are put together for decoding, change nothing
+    rng, field = np.random.default_rng(7), pii.train()
+    pieces = ["alpha", "at", "gamma", "dot", "com", "(at)", "host.org", "call", "415.555.2671", "(415) 555-2671", "4111.1111.1111.1111", ".", ",", "x@y.zz", "10.1.1.1", "arroba", "and", "the"]
+    texts = ["\n".join(" ".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 25))) for _ in range(rng.integers(1, 4))) for _ in range(600)]
+    texts += ["alpha at gamma dot com", "", "\n\n", "word " * 3000 + "alpha at gamma dot com " + "word " * 3000]
+    base = [pii.base_spans(t) for t in texts]
+    got = pii.added_spans(texts, base, field)
+    assert sum(map(len, got)) > 100 and got[-1] and got[600]
+    assert [sorted(x) for x in got] == [sorted(x) for x in pii.added_spans(texts, base, field, every=True)]
+    monkeypatch.setattr(pii, "CELLS", 1)
+    assert [sorted(x) for x in got] == [sorted(x) for x in pii.added_spans(texts, base, field)]
+    assert not any(s < y and x < e for b, g in zip(base, got) for _, s, e in g for _, x, y in b)
+
+
 @pytest.mark.parametrize("address", ["alice (at) example.com", "alice at example.com", "bob.k [at] mail.example.org", "carla arroba ejemplo.es"])
 def test_personal_addresses_with_a_plain_dot(address):
     text = f"please write to {address} and wait"
@@ -382,6 +529,49 @@ def test_personal_addresses_with_a_plain_dot(address):
     assert not pii.added_spans(["we met at noon. Then at home, all of us looked at stars"], [[]], pii.train())[0]
 
 
+def test_battery_against_plain_computation():
+    def tail(x, df):
+        """The upper tail of chi-squared by Simpson's rule."""
+        t = np.linspace(0, max(x, 1e-9), 20_001)[1:]
+        f = t ** (df / 2 - 1) * np.exp(-t / 2) / (2 ** (df / 2) * math.gamma(df / 2))
+        return 1 - float(np.trapezoid(f, t))
+
+    for df, x in ((6, 3.0), (6, 20.0), (15, 15.0), (31, 50.0), (63, 60.0), (63, 110.0)):
+        assert secrets._chi_tail(x, df) == pytest.approx(tail(x, df), abs=2e-3)
+    rng = np.random.default_rng(8)
+    for name, letters in secrets.ALPHABETS.items():
+        for n in (20, 40, 90):
+            token = "".join(letters[k] for k in rng.integers(0, len(letters), n)) + letters[-1]
+            kind, joined, prose = secrets.battery(token)
+            assert set(token) <= set(secrets.ALPHABETS[kind])
+            m, at = len(secrets.ALPHABETS[kind]), [secrets.ALPHABETS[kind].index(c) for c in token]
+            chi = sum((at.count(k) - len(at) / m) ** 2 / (len(at) / m) for k in range(m))
+            high = [x >= m / 2 for x in at]
+            a, b, runs = sum(high), len(at) - sum(high), 1 + sum(x != y for x, y in zip(high, high[1:]))
+            mean, var = 1 + 2 * a * b / len(at), 2 * a * b * (2 * a * b - len(at)) / (len(at) ** 2 * (len(at) - 1))
+            wald = math.erfc(abs(runs - mean) / math.sqrt(var) / math.sqrt(2))
+            d = np.array(at) - np.mean(at)
+            lag = math.erfc(abs((d[1:] * d[:-1]).sum() / (d * d).sum()) * math.sqrt(len(at)) / math.sqrt(2))
+            assert joined == pytest.approx(secrets._chi_tail(-2 * sum(map(math.log, (secrets._chi_tail(chi, m - 1), wald, lag))), 6))
+            assert prose == pytest.approx(min(1.0, float(np.prod([secrets._TEXT[c] * m for c in token]))))
+
+
+def test_random_spans_against_brute_force():
+    """Benjamini and Hochberg's rule over all candidates of a text, by its definition."""
+    rng, letters = np.random.default_rng(9), secrets.ALPHABETS["base62"]
+    drawn = lambda n: "".join(letters[k] for k in rng.integers(0, 62, n))
+    word = lambda n: "".join("etaoinshrdlu"[k] for k in rng.integers(0, 12, n))
+    for _ in range(60):
+        text = " ".join(drawn(rng.integers(20, 40)) if rng.random() < 0.3 else word(rng.integers(3, 30)) for _ in range(12))
+        base, every = secrets.scan(text)
+        spans = [m.span() for m in re.finditer(r"\S{20,}", text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        tests = {x: secrets.battery(text[x[0] : x[1]]) for x in spans}
+        usable = [x for x in spans if tests[x][1] >= secrets.NOT_RANDOM]
+        most = max((k for k in range(len(usable) + 1) if not k or sorted(tests[x][2] for x in usable)[k - 1] <= secrets.FALSE_DISCOVERIES * k / len(spans)), default=0)
+        want = sorted(sorted(usable, key=lambda x: (tests[x][2], x))[:most])
+        assert [(s, e) for s, k, e in every if k == "random"] == want
+
+
 def test_secrets(docs, rows, none):
     def brute(text):
         out = [(m.start(), "assign", m.end()) for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
@@ -478,6 +668,21 @@ def test_packing(docs, rows, none, vocabulary):
     assert packing.pack(none, *vocabulary).count() == 0
 
 
+def test_packing_keeps_what_the_rule_has_placed():
+    rng = np.random.default_rng(11)
+    block, total = packing.Block(0), 0
+    for i in range(1500):
+        ids = np.arange(rng.integers(1, 3000), dtype="<u4")
+        total += len(ids)
+        block.add(i, ids)
+    block.finish()
+    assert sum(r[2] for r in block.rows) == total and block.moved <= 0.06 * total
+    sizes = Counter()
+    for r in block.rows:
+        sizes[r[5]] += r[2]
+    assert all(v == 2048 or v & (v - 1) == 0 for v in sizes.values())
+
+
 def test_sum_of_squares_rule():
     levels = packing.Levels(16)
     rng = np.random.default_rng(4)
@@ -497,6 +702,29 @@ def test_sum_of_squares_rule():
         levels.place(size, size)
 
 
+def test_pipeline_of_odd_rows(spark, docs, rows, none, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(r, 1, int(r % 2)) for r in range(0, 280, 7)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    here = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, here, str(tmp_path))
+        assert after.columns == docs.columns and after.schema["text"].dataType == docs.schema["text"].dataType, name
+        path = str(tmp_path / name.replace(" ", "-"))
+        after.write.parquet(path)
+        here = spark.read.parquet(path)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    texts = [t or "" for _, t in rows]
+    kept = [r["text"] or "" for r in here.collect()]
+    assert len({lower(t) for t in kept}) == len(kept) and LONG in kept and len(kept) < len(set(texts))
+    assert any(t.count("[SECRET]") == 2 and "AKIA" not in t for t in kept)
+    packed = stages["packing"](spark, here, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in here.collect()}
+    assert stages["packing"](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tiny, tmp_path):
     import corpus_pipeline
 
