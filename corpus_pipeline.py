@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
 columns of documents. A cluster runs them one by one, each written as Parquet and read again; run() does the same in
 the shared folder.
+
+Cases, the same for all stages but the last: all columns come back as they were, whatever their names; null texts count
+as empty and stay null; an empty table gives an empty one; rows with a null doc_id take part. Texts of any length are read
+whole.
 """
 
 from __future__ import annotations
@@ -14,23 +18,31 @@ from corpusloom.llm.common import table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the model, learnt from the labels, scores at the threshold or over."""
+    """Drops documents that the model, learnt from the labels, scores at the threshold or over. Repeated rows share their
+    fate, empty texts stay, and without usable labels every document does."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays, of repeated rows one; a row without an id
+    stays only where no row with one has its text. All empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that are linked by five-word shingles at a similarity of 0.8 or more, the row with the
+    smallest doc_id stays. Texts without words are one group; rows of one id are told apart by their texts."""
     return near_copies.drop_near(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become [SECRET] and n_chars is measured anew; no row goes."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece; null and empty texts are the single end id, a null doc_id stays null, and an empty table
+    gives no piece."""
     return packing.production_pack(docs)
 
 
