@@ -4,6 +4,8 @@ Null texts give null (or false for is_heading); empty ones have no heading and n
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +47,12 @@ def is_heading(line: Column) -> Column:
     return F.coalesce(fits & one, F.lit(False))
 
 
+def heading_line(line: str) -> bool:
+    """is_heading() for one line outside Spark."""
+    text = line.strip()
+    return 2 <= len(text) <= 70 and not re.search(SENTENCE_END, text) and not re.search(PERIOD, text) and any(re.search(p, text) for p in HEADINGS)
+
+
 def fund_code(path: Column, head: Column) -> Column:
     """The standard code in the innermost part of the path that has one, else in the opening text; upper case."""
     parts = F.filter(F.transform(F.reverse(F.split(path, "/")), lambda p: F.regexp_extract(p, FUND_CODE, 1)), lambda c: c != "")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import names
-from ..operators import fee_tables, scoring
+from ..functions import names, questions
+from ..operators import evidence, fee_tables, scoring
 from .registry import long, query, read
 
 
@@ -75,3 +76,26 @@ def comparison_hits(spark, d):
     e = read(spark, d, "events").select((F.col("user_id") % 40).alias("qid"), F.col("event_type").alias("fund"), F.col("event_id").alias("chunk_id"), F.col("event_id").alias("rank"))
     named = e.filter((F.col("qid") + F.length("fund")) % 3 > 0).select("qid", "fund")
     return scoring.compared(e, named).select("qid", "chunk_id", "fund", long("rank"))
+
+
+_ASKED = "CASE (conv_id + turn) % 6 WHEN 0 THEN '퇴직연금 중도인출 ' || turn WHEN 1 THEN '펀드 환매, 총보수 평균 ' || turn WHEN 2 THEN '세액공제 ' || turn WHEN 3 THEN '펀드 세율 KR' || (1000000000 + conv_id) WHEN 4 THEN '연금저축 압류 소득세법 ' || turn ELSE text END"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(f"WITH a AS (SELECT conv_id, turn, {_ASKED} AS t FROM conversations), h AS (SELECT *, len(list_filter({_LIST(questions.INSTITUTIONAL)}, lambda w: contains(lower(t), w))) AS inst, len(list_filter({_LIST(questions.PRODUCT)}, lambda w: contains(lower(t), w))) AS prod, len(list_filter({_LIST(questions.TAX_LAW)}, lambda w: contains(lower(t), w))) > 0 AS law FROM a) SELECT conv_id, turn, inst::BIGINT AS inst, prod::BIGINT AS prod, CASE WHEN inst >= 2 AND prod = 0 AND NOT law THEN '연금문서' WHEN prod >= 2 AND inst = 0 THEN '투자설명서' END AS doc_type, (inst >= 1 AND prod >= 1) OR (inst = 1 AND prod = 0) OR (inst >= 2 AND prod = 0 AND law) AS hybrid, inst >= 2 AND prod = 0 AND law AS tax_mix, CASE WHEN (conv_id + turn) % 6 = 3 THEN 'KR' || (1000000000 + conv_id) END AS fund_code, (conv_id + turn) % 6 = 1 AS need_sql FROM h")
+def question_route(spark, d):
+    c, k, turn = read(spark, d, "conversations"), (F.col("conv_id") + F.col("turn")) % 6, F.col("turn").cast("string")
+    made = (F.concat(F.lit("퇴직연금 중도인출 "), turn), F.concat(F.lit("펀드 환매, 총보수 평균 "), turn), F.concat(F.lit("세액공제 "), turn), F.concat(F.lit("펀드 세율 KR"), (F.col("conv_id") + 1_000_000_000).cast("string")), F.concat(F.lit("연금저축 압류 소득세법 "), turn))
+    text = F.col("text")
+    for i, x in reversed(list(enumerate(made))):
+        text = F.when(k == i, x).otherwise(text)
+    r = c.select("conv_id", "turn", questions.route(text).alias("r"))
+    return r.select("conv_id", "turn", F.col("r.inst").cast("long").alias("inst"), F.col("r.prod").cast("long").alias("prod"), "r.doc_type", "r.hybrid", "r.tax_mix", "r.fund_code", "r.need_sql")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents QUALIFY i <= 5) SELECT source, string_agg('[근거 ' || i || '] ' || CASE WHEN i % 2 = 0 THEN '공통' ELSE doc_id::VARCHAR END || CASE WHEN n_chars % 3 > 0 THEN ' ' || (n_chars % 3) || '쪽' ELSE '' END || ' · ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS evidence FROM r GROUP BY source")
+def evidence_lines(spark, d):
+    best = read(spark, d, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("i <= 5")  # the pieces of one prompt
+    one = F.struct("i", F.struct(F.lit(None).cast("string").alias("fund_name"), F.when(F.col("i") % 2 == 1, F.col("doc_id").cast("string")).alias("doc_id"), (F.col("n_chars") % 3).cast("int").alias("page"), F.col("lang").alias("section"), F.lit(None).cast("string").alias("base_date"), "text").alias("e"))
+    held = best.groupBy("source").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    return held.select("source", evidence.formatted(F.transform("x", lambda x: x["e"])).alias("evidence"))
