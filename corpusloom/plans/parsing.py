@@ -22,6 +22,11 @@ def fee_table_rows(spark, d):
 
 @query("SELECT o_orderkey::VARCHAR AS question_id, CASE WHEN o_orderkey % 7 = 0 THEN 'MISSING_FROM_RUN' WHEN o_orderkey % 5 = 0 THEN 'INFRA_FAIL' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'CONTRADICTION_REVIEW' WHEN o_orderkey % 3 = 0 THEN 'AUTO_CORRECT' WHEN o_orderkey % 3 = 1 THEN 'PARTIAL_REVIEW' ELSE 'SEMANTIC_REVIEW' END AS state, round(CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 1 / 3.0 ELSE 0 END, 6)::DOUBLE AS answer_cov, round(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 / 3.0 END, 6)::DOUBLE AS retrieval_cov FROM orders")
 def official_scores(spark, d):
+    s = _scores(spark, d)
+    return s.select("question_id", "state", F.round("answer_cov", 6).alias("answer_cov"), F.round("retrieval_cov", 6).alias("retrieval_cov"))
+
+
+def _scores(spark, d):
     k, number, word = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.regexp_replace("o_orderpriority", r"^\d-", "")
     key = k.cast("string").alias("question_id")
     o = read(spark, d, "orders")
@@ -29,8 +34,12 @@ def official_scores(spark, d):
     gold = o.select(key, required.alias("required"), F.lit(None).cast("array<struct<file:string,aliases:array<string>,locator:string>>").alias("sources"), F.array(F.lit("not so")).alias("contradiction_phrases"))
     answer = F.when(k % 3 == 0, F.concat(F.lit("No "), number, F.lit(", "), F.lower(word), F.when(k % 2 == 0, F.lit(" Not  So")).otherwise(F.lit("")))).when(k % 3 == 1, F.concat(F.lit("No "), number, F.lit("9 "), word)).otherwise(F.lit("nothing"))
     runs = o.filter(k % 7 != 0).select(key, answer.alias("answer"), word.alias("retrieved_context"), F.when(k % 5 == 0, F.lit("timeout")).alias("error"))
-    s = scoring.scored(gold, runs)
-    return s.select("question_id", "state", F.round("answer_cov", 6).alias("answer_cov"), F.round("retrieval_cov", 6).alias("retrieval_cov"))
+    return scoring.scored(gold, runs)
+
+
+@query("WITH s AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 1 / 3.0::DOUBLE ELSE 0 END AS a, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 / 3.0::DOUBLE END AS b, CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1 / 3.0::DOUBLE WHEN o_orderkey % 3 = 1 THEN 1 END AS g, CASE WHEN o_orderkey % 7 = 0 THEN 0 END AS c FROM orders) SELECT count(*) AS rows, round(0.5 * avg(a) + 0.2 * avg(b) + 0.15 * coalesce(avg(c), 0) + 0.15 * avg(g), 6) AS composite FROM s")
+def official_composite(spark, d):
+    return scoring.composite(_scores(spark, d)).select("rows", F.round("composite", 6).alias("composite"))
 
 
 @query("SELECT l_orderkey, l_linenumber, format('{:.4g}%', l_discount) AS discount, format('{:.4g}%', l_tax * 123) AS tax FROM lineitem")

@@ -54,9 +54,10 @@ def test_scored(spark):
     assert (a["answer_cov"], a["retrieval_cov"], a["grounding"], a["source_recall"], a["locator_recall"]) == (1.0, pytest.approx(2 / 3), pytest.approx(2 / 3), 0.5, 0.5)
     assert by["part"]["answer_cov"] == 0.75 and by["part"]["retrieval_cov"] == 0.0 and by["part"]["grounding"] is None and by["empty"]["source_recall"] is None
     total = scoring.composite(got).first()
-    rows = [by[k] for k in ("all", "part", "contra", "empty")]
-    mean = lambda c: (lambda xs: sum(xs) / len(xs) if xs else 0.0)([r[c] for r in rows if r[c] is not None])
-    assert total["rows"] == 4 and total["composite"] == pytest.approx(sum(mean(c) * w for c, w in scoring.COMPOSITE.items()))
+    mean = lambda c, rows: (lambda xs: sum(xs) / len(xs) if xs else 0.0)([r[c] for r in rows if r[c] is not None])
+    every, ran = list(by.values()), [r for r in by.values() if r["state"] != "INFRA_FAIL"]
+    want = 0.5 * mean("answer_cov", every) + 0.2 * mean("retrieval_cov", every) + 0.15 * (2 * mean("source_recall", every) + mean("locator_recall", every)) / 3 + 0.15 * mean("grounding", ran)
+    assert total["rows"] == 7 and total["composite"] == pytest.approx(want)
 
 
 def test_reports(spark):
