@@ -48,7 +48,7 @@ EPS = 1e-9
 #: Bytes of text for each bucket of the counted shingles, as aimed for.
 BUCKET_BYTES = 6_000_000
 #: Distinct shingles that a counting task holds.
-HELD = 800_000
+HELD = 400_000
 #: Characters of text that a worker handles at once; a longer text is handled alone.
 SLICE = 1 << 20
 #: Shingles of a file of sets.
