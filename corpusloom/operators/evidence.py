@@ -104,3 +104,61 @@ def report(means: list[tuple[str, float, int]], title: str, width: int = 20) ->
     """Markdown with a bar for each group (name, mean of 0 to 1, rows)."""
     rows = [f"| {name} | {n} | {mean:.1%} | {'█' * round(mean * width)} |" for name, mean, n in means]
     return "\n".join([f"## {title}", "", "| group | rows | mean | |", "|---|---|---|---|", *rows])
+
+
+# What a fund's name loses in a label, the label of its paper, the look of a fund's code, words that tell texts apart.
+NAME_EXTRAS = r"\(.*?\)|제?\d+호|증권(전환형)?(모|자)?투자신탁"
+PROSPECTUS, SHARED_TERMS = "투자설명서", "공통 조항"
+CODED = r"^KR[0-9A-Z]{8,}$"
+TELLING = r"([가-힣A-Za-z]{4,}|\d+(?:\.\d+)?)"
+SOURCES = "※ 근거:"
+
+
+def label(fund_name: Column, doc_id: Column, title: Column) -> Column:
+    """A document's name for people: the fund's without legal words, else its title, else what its id says. A null counts
+    as empty."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    short = F.trim(F.regexp_replace(fund_name, NAME_EXTRAS, ""))
+    of_fund = F.when(given(fund_name).isNotNull(), F.trim(F.concat(short, F.lit(" " + PROSPECTUS))))
+    return F.coalesce(of_fund, given(title), F.when(F.regexp_like(doc_id, F.lit(CODED)), F.lit(PROSPECTUS)), given(doc_id), F.lit(SHARED_TERMS))
+
+
+def _shared_words(text: Column, answer: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TELLING), F.lit(1)))
+    return F.size(F.filter(words, lambda w: (F.length(w) >= 2) & answer.contains(w)))
+
+
+def source_line(evidence: Column, answer: Column, named: Column | None = None, most: int = 4) -> Column:
+    """The line of sources behind an answer: labels of the evidence that the answer draws on, each once, in its order.
+    Evidence: array of structs of EVIDENCE's fields and title. Drawn on are pieces of which the answer has three telling
+    words, and two fifths of the best piece's; where no piece is, the two best. named: from a fund's name to whether the
+    question names it; if it names any, other funds' papers are no source. Without evidence: the empty string."""
+    if named is not None:
+        of_fund = lambda e: F.coalesce(e["fund_name"], F.lit("")) != ""
+        asked = lambda e: of_fund(e) & F.coalesce(named(e["fund_name"]), F.lit(False))
+        evidence = F.when(F.exists(evidence, asked), F.filter(evidence, lambda e: ~of_fund(e) | asked(e))).otherwise(evidence)
+    plain = F.regexp_replace(F.substring_index(F.coalesce(answer, F.lit("")), SOURCES, 1), r"(?U)\s", "")
+    page = lambda e: _if(e["page"], " ", "쪽")
+    weighed = F.transform(evidence, lambda e, i: F.struct((-_shared_words(e["text"], plain)).alias("n"), i.alias("i"), F.concat(label(e["fund_name"], e["doc_id"], e["title"]), page(e)).alias("label")))
+    best = F.array_min(F.transform(weighed, lambda w: w["n"]))
+    drawn = F.filter(weighed, lambda w: (w["n"] <= -3) & (w["n"] <= best * 0.4))
+    kept = F.when(F.size(drawn) > 0, drawn).otherwise(F.slice(F.array_sort(weighed), 1, 2))
+    labels = F.slice(F.array_distinct(F.transform(kept, lambda w: w["label"])), 1, most)
+    return F.when(F.size(labels) > 0, F.concat(F.lit(f"\n\n{SOURCES} "), F.array_join(labels, " · "))).otherwise(F.lit(""))
+
+
+def composed(question: Column, computed: Column, rows: Column, pieces: Column, notes: Column, asks: tuple[str, str, str], extra: tuple[tuple[Column, str], ...] = ()) -> Column:
+    """What a generator is given: results that are certain come first (computed values, rows, pieces of evidence, notes;
+    blank ones are left out), then the question and the instruction of the first kind there is (asks: for computed values,
+    for rows, for evidence alone), then each extra sentence whose condition holds. Null if there is nothing to answer from,
+    so that no generator need be asked; notes alone are nothing."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    blocks = F.concat_ws("\n\n", *(some(c) for c in (computed, rows, pieces, notes)))
+    ask = F.when(some(computed).isNotNull(), F.lit(asks[0])).when(some(rows).isNotNull(), F.lit(asks[1])).when(some(pieces).isNotNull(), F.lit(asks[2]))
+    more = (F.when(F.coalesce(condition, F.lit(False)), F.lit(sentence)) for condition, sentence in extra)
+    return F.when(ask.isNotNull(), F.concat(blocks, F.lit("\n\n"), F.coalesce(question, F.lit("")), F.lit("\n\n"), F.concat_ws(" ", ask, *more)))
+
+
+def of_document(code: Column, owner: Column, shared: Column) -> Column:
+    """Whether a chunk belongs to a document: by its own code, or as one of the ids that share it. Nulls: no."""
+    return F.coalesce(owner == code, F.lit(False)) | F.coalesce(F.array_contains(shared, code), F.lit(False))

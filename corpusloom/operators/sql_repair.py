@@ -6,6 +6,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 # Columns, words and forms that the rules look for.
 FEE_COLUMNS = ("fund_name", "class_code", "account_type", "channel", "fee_total", "page")
 RATES = ("fee_total", "fee_distribution", "fee_peer_avg", "fee_total_cost")
@@ -168,3 +173,85 @@ def merged(parts: list[list[dict]], most: int = 50) -> list[dict]:
     """The rows of several statements, each once, in order, at most so many."""
     once = {tuple(sorted((k, repr(v)) for k, v in r.items())): r for rows in reversed(parts) for r in reversed(rows)}
     return list(reversed(once.values()))[:most]
+
+
+# How far behind its fund a class may stand (looked for at once, at most), and the shape of the new statement.
+AT_ONCE, AT_MOST = 15, 30
+REBUILT = "SELECT fund_name, class_code, fee_total, front_load_text, page FROM fund_fees WHERE {} ORDER BY fee_total ASC LIMIT 50"
+
+
+def funds_in(question: str, short: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(start, end, full name) of known short names of three letters or more, in order; the longer takes a place first."""
+    taken = bytearray(len(question))
+    out = []
+    for name in sorted((n for n in short if len(n) >= 3), key=lambda n: (-len(n), n)):
+        place = question.find(name)
+        span = slice(place, place + len(name))
+        if place >= 0 and not any(taken[span]):
+            taken[span] = b"\1" * len(name)
+            out.append((span.start, span.stop, short[name]))
+    return sorted(out)
+
+
+def _classes(codes: list[str], least: int) -> re.Pattern | None:
+    longest_first = sorted({c for c in codes if len(c) >= least}, key=lambda c: (-len(c), c))
+    return re.compile(rf"(?<![A-Za-z0-9-])(?:{'|'.join(map(re.escape, longest_first))})(?![A-Za-z0-9-])") if longest_first else None
+
+
+def rebuilt(question: str, short: dict[str, str], codes: list[str]) -> str | None:
+    """A statement made of the funds and classes that a question names, for when the generated one found no rows. A class
+    goes to the fund that ends last before it. Codes of one letter count only right behind a fund, as names hold letters
+    too. Null unless two funds or two classes are named, as there is nothing to compare then."""
+    funds, anywhere, any_code = funds_in(question, short), _classes(codes, 2), _classes(codes, 1)
+    seen = [(m.start(), m[0]) for m in anywhere.finditer(question)] if anywhere else []
+    at_once = [(end, m[0]) for _, end, _ in funds if any_code and (m := any_code.search(question[end : end + AT_ONCE])) and all(end != p for p, _ in seen)]
+    asked: dict[str, set[str]] = {}
+    for place, code in sorted(seen + at_once):
+        end, fund = max(((e, f) for _, e, f in funds if e <= place), default=(-AT_MOST - 1, ""))
+        if place - end <= AT_MOST and fund:
+            asked.setdefault(fund, set()).add(code.strip().upper().replace("-", "").replace(" ", ""))
+    if sum(map(len, asked.values())) < 2:
+        return None
+
+    def condition(fund: str, classes: set[str]) -> str:
+        literals = [f"'{c}'" for c in sorted(classes)]
+        wanted = f"= {literals[0]}" if len(literals) == 1 else f"IN ({', '.join(literals)})"
+        return f"(fund_name = '{fund.replace("'", "''")}' AND UPPER(REPLACE(class_code,'-','')) {wanted})"
+
+    return REBUILT.format(" OR ".join(condition(f, c) for f, c in asked.items()))
+
+
+def census(codes: list[str | None], accounts: dict[str | None, int], width: int = 58) -> tuple[str, str]:
+    """What a prompt says of the table as it is now: the class codes, in lines that end once they pass a width, without
+    codes that a neighbouring cell slipped into; and the rows of each account type, those without one last."""
+    real = sorted({c for c in codes if c and not SPLICED.search(c)})
+    lines: list[str] = []
+    for c in real:
+        lines[-1:] = [f"{lines[-1]}, {c}"] if lines and len(lines[-1]) <= width else [*lines[-1:], c]
+    kinds = [f"'{k}'({n}행)" for k, n in sorted((k, n) for k, n in accounts.items() if k)]
+    return ",\n".join(lines), ", ".join([*kinds, f"NULL({accounts.get(None, 0)}행)"])
+
+
+def attempted(question: str, generate, run, most: int = 2) -> tuple[list, list[str]]:
+    """(rows, trace) of a generated statement. generate takes the question and the attempts before, as (statement, fault),
+    and run gives rows; a fault is told to the next attempt, and after the last there are no rows, so that the answer
+    comes from the search alone."""
+    before: list[tuple[str, str]] = []
+    while len(before) < most:
+        sql = ""
+        try:
+            sql = generate(question, tuple(before))
+            return list(run(sql)), [f"attempt {i + 1}: {fault}" for i, (_, fault) in enumerate(before)]
+        except Exception as e:  # noqa: BLE001  whatever is wrong with a statement is told to its writer
+            before.append((sql, f"{type(e).__name__}: {e}"))
+    return [], [f"attempt {i + 1}: {fault}" for i, (_, fault) in enumerate(before)]
+
+
+def rebuilt_each(question: Column, short: dict[str, str], codes: list[str]) -> Column:
+    """rebuilt() of a column; null questions give null."""
+
+    @F.pandas_udf(StringType())
+    def run(questions: pd.Series) -> pd.Series:
+        return questions.map(lambda q: None if q is None else rebuilt(q, short, codes))
+
+    return run(question)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,20 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.documents import clean_grid, heading_line, markdown
+from ..functions.names import nfc
 
 # The fields of a chunk as its writer lays it out, and the names of lists and fields in results.
 CHUNK = "chunk_id string, doc_id string, doc_type string, fund_code string, fund_name string, kofia_code string, base_date string, page int, section string, content_type string, is_ocr boolean, text string, n_chars int, source_path string"
 FINAL = CHUNK + ", doc_ids array<string>, n_docs int, scope string, text_hash string"
 
 
-def documents(spark: SparkSession, root: str, pattern: str = "*.{pdf,docx}", without: tuple[str, ...] = ()) -> DataFrame:
-    """path, modificationTime, length, content of the files below root; hidden files, lock files and paths with one of
-    the given parts are left out."""
+def documents(spark: SparkSession, root: str, pattern: str = "*.{pdf,docx}", without: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """path, modificationTime, length, content of the files below root; hidden files, lock files, paths with one of the
+    given parts, and files of one of the given names are left out. Names compare in Unicode's composed form, as file
+    systems differ in theirs."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     kept = ~F.col("path").rlike(r"/(\.|~\$)[^/]*$")
     for part in without:
         kept = kept & ~F.col("path").contains(part)
-    return found.filter(kept)
+    found = found.filter(kept)
+    return found.filter(~nfc(F.element_at(F.split("path", "/"), -1)).isin([unicodedata.normalize("NFC", n) for n in names])) if names else found
+
+
+def in_order(files: DataFrame, most: int | None = None) -> DataFrame:
+    """Files by path in its composed form; the first ones only, where a smoke run asks for so many."""
+    rows = files.orderBy(nfc(F.col("path")), "path")
+    return rows if most is None else rows.limit(most)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = FINAL) -> DataFrame:
