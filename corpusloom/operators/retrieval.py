@@ -295,3 +295,17 @@ def cache_agrees(made: DataFrame, cached: DataFrame, least: float = 0.9999) -> D
     not if the cache lacks the id or holds another length."""
     both = made.join(cached, "doc_id", "left")
     return both.withColumn("same", F.coalesce((F.size("made") == F.size("held")) & (cosine(F.col("made"), F.col("held")) >= least), F.lit(False)))
+
+
+def neighbours_by_id(hits: DataFrame, chunks: DataFrame, longest: int = 300, most: int = 3) -> DataFrame:
+    """neighbours() for ids like owner_p1_0003: the numbers before and behind, of the same owner and with as many digits,
+    so that no step leaves a document. In the order of the hits, the one before first; ids of another form have none."""
+    parts = F.regexp_extract("chunk_id", r"^(.*_)(\d+)$", 1), F.regexp_extract("chunk_id", r"^(.*_)(\d+)$", 2)
+    numbered = hits.filter(F.regexp_like("chunk_id", F.lit(r"^.*_\d+$"))).select("qid", "rank", parts[0].alias("owner"), parts[1].alias("digits"))
+    steps = numbered.select("qid", "owner", "digits", F.posexplode(F.array(F.col("digits").cast("long") - 1, F.col("digits").cast("long") + 1)).alias("side", "n"), "rank").filter("n >= 0")
+    digits = F.col("n").cast("string")
+    near = steps.select("qid", "rank", "side", F.concat("owner", F.when(F.length(digits) >= F.length("digits"), digits).otherwise(F.lpad(digits, F.length("digits"), F.lit("0")))).alias("chunk_id"))
+    short = chunks.filter(F.length("text") <= longest).select("chunk_id")
+    new = near.join(short, "chunk_id").join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+    once = new.groupBy("qid", "chunk_id").agg(F.min(F.col("rank") * 2 + F.col("side")).alias("step"))
+    return top(once, "qid", [F.asc("step"), F.asc("chunk_id")], most).select("qid", "chunk_id", F.floor(F.col("step") / 2).cast("long").alias("from_rank"), "rank")

@@ -394,4 +394,4 @@ def weighted_score(spark, d):
     return read(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg(t) * 0.5 + F.avg(q) * 0.2 + F.avg(q * (1 - t)) * 0.3, 6).alias("weighted"))
 
 
-from . import answers, building, fees, logs, parsing  # noqa: E402,F401  they register further queries
+from . import answers, building, fees, logs, parsing, reports  # noqa: E402,F401  they register further queries

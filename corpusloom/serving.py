@@ -182,3 +182,19 @@ def server(ask: Callable[[str, str], dict], port: int = 8000, host: str = "127.0
             pass
 
     return ThreadingHTTPServer((host, port), Handler)
+
+
+class Breaker:
+    """Whether a failed call may be made again: not after so many time-outs on end, nor with too little time left. A call
+    that gives an answer closes it."""
+
+    def __init__(self, threshold: int = 2, least_seconds: float = 40):
+        self._threshold, self._least, self._lock, self._missed = threshold, least_seconds, threading.Lock(), 0
+
+    def told(self, timed_out: bool) -> None:
+        with self._lock:
+            self._missed = self._missed + 1 if timed_out else 0
+
+    def allows(self, seconds_left: float) -> bool:
+        with self._lock:
+            return self._missed < self._threshold and seconds_left >= self._least
