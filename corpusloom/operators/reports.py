@@ -149,3 +149,18 @@ def owner_ranks(hits: DataFrame, owners: DataFrame) -> DataFrame:
     where a variant's hits lack it, so that a filter which loses the document is seen."""
     tried = owners.join(hits.select("variant").distinct(), F.lit(True))  # variants are few: the filters tried
     return tried.join(hits, ["qid", "variant", "owner"], "left").groupBy("qid", "variant").agg(F.min("rank").alias("rank"))
+
+
+#: Bytes of a question set that are hashed as one text; a larger one is none.
+MOST_QUESTIONS = 64 << 20
+
+
+def fingerprint(questions: DataFrame) -> DataFrame:
+    """The SHA-256 of questions (place, question_id, question) as one JSON list in order of place, with sorted keys and no
+    blanks; nulls are null. ValueError if they are too many to be a question set."""
+    size = questions.agg(F.sum(F.octet_length(F.coalesce("question", F.lit(""))) + 64)).scalar()
+    if (questions.sparkSession.range(1).select(size).first()[0] or 0) > MOST_QUESTIONS:
+        raise ValueError("too many questions for one fingerprint")
+    one = F.struct("place", F.struct("question", "question_id").alias("q"))
+    rows = questions.agg(F.sort_array(F.collect_list(one)).alias("x"))
+    return rows.select(F.sha2(F.to_json(F.transform("x", lambda r: r["q"]), {"ignoreNullFields": "false"}), 256).alias("fingerprint"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import answers as an
 from ..functions import documents
 from ..functions import text as tx
-from ..operators import retrieval
+from ..operators import reports, retrieval
 from .registry import BM25_SQL, FUSED_SQL, OVERLAP_SQL, _bm25, _chunks, _overlap, _questions, long, query, read
 
 HITS_SQL = f"{BM25_SQL}, h AS (SELECT qid, chunk_id, rank FROM bm WHERE rank <= 12)"
@@ -61,10 +61,9 @@ def answer_metrics(spark, d):
     return _questions(spark, d).join(found, "qid", "left").agg(F.count("*").alias("questions"), F.count_if(F.col("blob").contains(flat(F.col("text")))).alias("with_evidence"))
 
 
-@query("SELECT sha256(string_agg(sha256(item_id || chr(9) || text), '' ORDER BY sha256(item_id || chr(9) || text))) AS fingerprint FROM benchmark")
+@query("""SELECT sha256('[' || string_agg('{"question":' || to_json(text)::VARCHAR || ',"question_id":"' || item_id || '"}', ',' ORDER BY item_id) || ']') AS fingerprint FROM benchmark""")
 def questionset_fingerprint(spark, d):
-    row = F.sha2(F.concat(F.col("item_id").cast("string"), F.lit("\t"), F.col("text")), 256)  # a question set is bounded
-    return read(spark, d, "benchmark").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("fingerprint"))
+    return reports.fingerprint(read(spark, d, "benchmark").select(F.col("item_id").alias("place"), F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question")))
 
 
 # a vector's component i (from 0): the first eight hex digits of the hash of (hash of the text, i), as a fraction, to unit length
@@ -109,14 +108,17 @@ def document_identity(spark, d):
     return p.select("page_id", documents.fund_code(F.col("path"), F.col("head")).alias("code"), documents.base_date(F.col("head")).alias("base_date"), documents.doc_kind(F.col("path")).alias("kind"), documents.fund_name(F.col("head")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (1, 'A fee of 0.2% holds.'), (2, 'See (a note) here.'), (3, 'An (open p. 3'), (4, 'Both [x (p. 4)], done'), (5, NULL)) t(id, text) WHERE id <> 4 UNION ALL SELECT 4, 'Both, done'")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'A fee of 0.' || p_size || '% holds.' WHEN 1 THEN 'See (a note) ' || p_name || '.' WHEN 2 THEN p_name || ' (open p. 3' WHEN 3 THEN 'Both, ' || p_name END AS text FROM part")
 def citation_strip(spark, d):
-    rows = [(1, "A fee of 0.2% (terms (old) p. 12) holds."), (2, "See (a note) here."), (3, "An (open p. 3"), (4, "Both [x (p. 4)], done"), (5, None)]
-    return spark.createDataFrame(rows, "id int, text string").select("id", an.strip_citations("text").alias("text"))
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("A fee of 0."), n, F.lit("% (terms (old) p. 12) holds."))).when(k == 1, F.concat(F.lit("See (a note) "), "p_name", F.lit("."))).when(k == 2, F.concat("p_name", F.lit(" (open p. 3"))).when(k == 3, F.concat(F.lit("Both [x (p. "), n, F.lit(")], "), "p_name"))
+    return read(spark, d, "part").select("p_partkey", an.strip_citations(text).alias("text"))
 
 
-@query("SELECT 'h|' || chr(10) || '-|' AS head, 3::BIGINT AS pieces, 300::BIGINT AS rows")
+# rows of 19 signs with their line ends: 131 fit behind the head
+@query("SELECT p_partkey, ceil(p_size * 10 / 131.0)::BIGINT AS pieces, p_size * 10::BIGINT AS rows, 1::BIGINT AS heads FROM part")
 def table_split(spark, d):
-    rows = spark.createDataFrame([("h|\n-|\n" + "\n".join(f"row {i:05d}, of ten|" for i in range(300)),)], "t string").select(F.explode(an.table_pieces("t")).alias("p"))
-    lines = F.split("p", "\n")
-    return rows.groupBy(F.array_join(F.slice(lines, 1, 2), "\n").alias("head")).agg(F.count("*").alias("pieces"), F.sum(F.size(lines) - 2).alias("rows"))
+    lines = F.transform(F.sequence(F.lit(1), F.col("p_size") * 10), lambda i: F.concat(F.lit("row "), F.lpad(i.cast("string"), 5, "0"), F.lit(", of ten|")))
+    pieces = read(spark, d, "part").select("p_partkey", F.explode(an.table_pieces(F.concat(F.lit("h|\n-|\n"), F.array_join(lines, "\n")))).alias("p"))
+    cut = F.split("p", "\n")
+    return pieces.groupBy("p_partkey").agg(F.count("*").alias("pieces"), F.sum(F.size(cut) - 2).alias("rows"), F.count_distinct(F.array_join(F.slice(cut, 1, 2), "\n")).alias("heads"))
\ No newline at end of file

@@ -9,23 +9,32 @@ from ..operators import corpus, tables
 from .registry import query, read
 
 
-@query("SELECT * FROM (VALUES ('수수료미징구-온라인-퇴직연금(C-P2(퇴직연금))', 'C-P2', '퇴직연금', '온라인', false), ('A(수수료선취-오프라인)', 'A', NULL, '오프라인', true), ('투자자(C-Pe)', 'C-Pe', '연금저축', '온라인', true), ('S-P (S-P)', 'S-P', '연금저축', '온라인슈퍼', true), ('※ 주석', NULL, NULL, NULL, false), ('퇴 없음 직연금 (C1)', 'C1', '퇴직연금', NULL, true)) t(label, code, account, channel, is_class)")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'C-P' || p_size WHEN 1 THEN 'A' || p_size WHEN 2 THEN 'C-Pe' WHEN 3 THEN 'S' || p_size || '-P' WHEN 5 THEN 'C' || p_size END AS code,
+    CASE WHEN p_partkey % 6 IN (0, 5) THEN '퇴직연금' WHEN p_partkey % 6 IN (2, 3) THEN '연금저축' END AS account, CASE p_partkey % 6 WHEN 0 THEN '온라인' WHEN 1 THEN '오프라인' WHEN 2 THEN '온라인' WHEN 3 THEN '온라인슈퍼' END AS channel, p_partkey % 6 NOT IN (0, 4) AS is_class FROM part""")
 def class_labels(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("수수료미징구-온라인-퇴직연금(C-P2(퇴직연금))", "A(수수료선취-오프라인)", "투자자(C-Pe)", "S-P (S-P)", "※ 주석", "퇴 없음 직연금 (C1)")], "label string")
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    made = ("수수료미징구-온라인-퇴직연금(C-P{}(퇴직연금))", "A{}(수수료선취-오프라인)", "투자자{}(C-Pe)", "S{0}-P (S{0}-P)", "※ 주석 {}", "퇴 없음 직연금 (C{})")
+    label = F.coalesce(*(F.when(k == i, F.replace(F.lit(x.replace("{0}", "{}")), F.lit("{}"), n)) for i, x in enumerate(made)))
+    rows = read(spark, d, "part").select("p_partkey", label.alias("label")).withColumn("code", classes.code(F.col("label")))
     label, code = F.col("label"), F.col("code")
-    return rows.withColumn("code", classes.code(label)).select("label", "code", classes.account(label, code).alias("account"), classes.channel(label, code).alias("channel"), classes.is_label(label).alias("is_class"))
+    return rows.select("p_partkey", "code", classes.account(label, code).alias("account"), classes.channel(label, code).alias("channel"), classes.is_label(label).alias("is_class"))
 
 
-@query("SELECT * FROM (VALUES (1, 1.25::DOUBLE), (2, NULL), (3, -0.5), (4, NULL), (5, 1200.0)) t(id, rate)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN l_quantity + 0.25 WHEN 2 THEN -l_quantity - 0.5 WHEN 4 THEN l_quantity + 1000 END AS rate FROM lineitem")
 def rate_cells(spark, d):
-    return spark.createDataFrame([(1, " 1.25% "), (2, "-"), (3, "약 -0.5"), (4, "해당없음"), (5, "1,200")], "id int, cell string").select("id", classes.rate(F.col("cell")).alias("rate"))
+    k, n = (F.col("l_orderkey") + F.col("l_linenumber")) % 6, F.col("l_quantity").cast("int").cast("string")
+    cell = F.when(k == 0, F.concat(F.lit(" "), n, F.lit(".25% "))).when(k == 1, "-").when(k == 2, F.concat(F.lit("약 -"), n, F.lit(".5"))).when(k == 3, "해당없음").when(k == 4, F.concat(F.lit("1,"), F.lpad(n, 3, "0")))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", classes.rate(cell).alias("rate"))
 
 
-@query("SELECT * FROM (VALUES (1, 120000000::BIGINT, '1억 2,000만원', 3, true), (2, NULL, NULL, NULL, false), (3, 50001::BIGINT, '5만원 1원', 6, false), (4, 300000000::BIGINT, '3억', 0, false)) t(id, won, shown, year, calc)")
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey % 9000 + 1 AS n FROM orders)
+    SELECT k, CASE k % 4 WHEN 0 THEN n * 100000000 + 20000000 WHEN 2 THEN n + 50000 WHEN 3 THEN n * 100000000 END AS won, CASE k % 4 WHEN 0 THEN n || '억 2,000만원' WHEN 2 THEN '5만원 ' || format('{:,}', n) || '원' WHEN 3 THEN n || '억' END AS shown,
+    CASE k % 4 WHEN 0 THEN k % 9 + 1 WHEN 2 THEN 6 WHEN 3 THEN 0 END::INT AS year, k % 4 = 0 AS calc FROM x""")
 def money_parse_format(spark, d):
-    rows = [(1, "평가액 1억 2,000만원이고 3년 차면 얼마까지 되나요"), (2, "금액이 없다"), (3, "5만 1원, 만 60세"), (4, "3억, 40세")]
-    t = F.col("t")
-    return spark.createDataFrame(rows, "id int, t string").withColumn("won", money.won(t)).select("id", "won", money.won_text(F.col("won")).alias("shown"), money.year(t).alias("year"), money.needs_limit(t).alias("calc"))
+    k, n = F.col("o_orderkey"), (F.col("o_custkey") % 9000 + 1).cast("string")
+    t = F.when(k % 4 == 0, F.concat(F.lit("평가액 "), n, F.lit("억 2,000만원이고 "), (k % 9 + 1).cast("string"), F.lit("년 차면 얼마까지 되나요"))).when(k % 4 == 1, "금액이 없다").when(k % 4 == 2, F.concat(F.lit("5만 "), n, F.lit("원, 만 60세"))).otherwise(F.concat(n, F.lit("억, 40세")))
+    rows = read(spark, d, "orders").select(k.alias("k"), t.alias("t"), money.won(t).alias("won"))
+    return rows.select("k", "won", money.won_text(F.col("won")).alias("shown"), money.year(F.col("t")).alias("year"), money.needs_limit(F.col("t")).alias("calc"))
 
 
 @query("SELECT c_custkey, (9000000 + least(floor(abs(c_acctbal) * 10000 * 0.1::DOUBLE), 3000000))::BIGINT AS total FROM customer")

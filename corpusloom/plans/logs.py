@@ -9,13 +9,6 @@ from ..streaming import questions
 from .registry import query, read
 
 
-@query("SELECT c_custkey AS id, round(c_acctbal - s_acctbal, 4) AS delta, CASE WHEN c_acctbal - s_acctbal > 0.01 THEN 'up' WHEN c_acctbal - s_acctbal < -0.01 THEN 'down' ELSE 'same' END AS direction FROM customer JOIN supplier ON s_suppkey = c_custkey")
-def run_compare(spark, d):
-    now, before = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("now")), read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("before"))
-    delta = F.col("now") - F.col("before")
-    return now.join(before, "id").select("id", F.round(delta, 4).alias("delta"), F.when(delta > 0.01, "up").when(delta < -0.01, "down").otherwise("same").alias("direction"))
-
-
 @query("SELECT user_id, count(*) AS calls, round(sum(value), 2) AS used FROM events GROUP BY user_id ORDER BY calls DESC, user_id LIMIT 5")
 def usage_report(spark, d):
     calls = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("used"))
@@ -32,12 +25,6 @@ def json_probe(spark, d):
     return read(spark, d, "events").groupBy(F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.key")).cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN event_type = 'error' THEN 'error' WHEN value < 1 THEN 'low' END AS reason FROM events")
-def infra_failure(spark, d):
-    reason = F.when(F.col("props").isNull() | (F.trim("props") == ""), "empty").when(F.col("event_type") == "error", "error").when(F.col("value") < 1, "low")
-    return read(spark, d, "events").select("event_id", reason.alias("reason"))
-
-
 # an addition: request counts by hour, the same on a stream
 @query("SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
 def traffic_by_hour(spark, d):

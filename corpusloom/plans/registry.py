@@ -98,10 +98,10 @@ def tokenize_count(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, '종류,c,p2,판매보수는,판매,매보,보수,수는,ae1'), (2, 'a,가나')) t(qid, words)")
+@query("SELECT p_partkey, '종류,c,p' || p_size || ',판매보수는,판매,매보,보수,수는,' || replace(p_name, ' ', ',') AS words FROM part")
 def hangul_pairs(spark, d):
-    rows = spark.createDataFrame([(1, "종류C-P2 판매보수는 Ae1"), (2, "A 가나")], "qid int, text string")
-    return rows.select("qid", F.array_join(tx.tokens(F.col("text")), ",").alias("words"))
+    text = F.concat(F.lit("종류C-P"), F.col("p_size").cast("string"), F.lit(" 판매보수는 "), F.upper("p_name"))
+    return read(spark, d, "part").select("p_partkey", F.array_join(tx.tokens(text), ",").alias("words"))
 
 
 TOKENS_SQL = "t AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t), p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL), r AS (SELECT term, count(*) AS df, ln(any_value(s.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, s GROUP BY term), i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)"
@@ -388,10 +388,4 @@ def evalset_integrity(spark, d):
     return read(spark, d, "benchmark").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("ids"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("missing"))
 
 
-@query("SELECT quality, toxic, count(*) AS n, round(0.5 * avg(toxic) + 0.2 * avg(quality) + 0.3 * avg(quality * (1 - toxic)), 6) AS weighted FROM labels GROUP BY quality, toxic")
-def weighted_score(spark, d):
-    q, t = F.col("quality"), F.col("toxic")
-    return read(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg(t) * 0.5 + F.avg(q) * 0.2 + F.avg(q * (1 - t)) * 0.3, 6).alias("weighted"))
-
-
 from . import answers, building, fees, logs, parsing, reports  # noqa: E402,F401  they register further queries
