@@ -72,9 +72,15 @@ class Hasher:
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
+        """Tables for buffers of n bytes, with some room up to a piece; made in place, as every task has its own."""
         if len(self.power) < n:
-            n = max(n, PIECE + 1)
-            run = lambda base: np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))))
+            n = max(n, min(n + n // 8, PIECE + 1))
+
+            def run(base: int) -> np.ndarray:
+                out = np.full(n, base, np.uint64)
+                out[0] = 1
+                return np.cumprod(out, out=out)
+
             self.power, self.inverse = run(_STEP), run(pow(_STEP, -1, 1 << 64))
 
     def words(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
